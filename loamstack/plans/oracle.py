@@ -1,3 +1,13 @@
 """SQL equivalents of the queries of ``plans.queries``."""
 
-SQL: dict[str, str] = {}
+_VALUE = "ltrim(regexp_replace(lower(trim(hash)), '^0x', ''), '0')"
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH newest AS (
+  SELECT path, {_VALUE} AS h, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, scan_id DESC) AS r
+  FROM file_scans WHERE hash IS NOT NULL AND path IS NOT NULL)
+SELECT n.path FROM newest n LEFT JOIN (SELECT path, {_VALUE} AS h FROM docs) d ON n.path = d.path
+WHERE n.r = 1 AND n.h IS DISTINCT FROM d.h
+""",
+}

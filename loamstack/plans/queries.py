@@ -1,3 +1,17 @@
 """Queries of the engine's own operators over the test tables."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamstack.io import table
+from loamstack.operators import ledger
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    scans = table(spark, folder, "file_scans", "path", "hash", "seen_at", "scan_id")
+    return ledger.catch_up(spark, scans, table(spark, folder, "docs", "path", "hash")).select("path")
+
+
+QUERIES = {f.__name__: f for f in (p4_found,)}
