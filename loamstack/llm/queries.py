@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamstack.io import table
-from loamstack.llm import neighbours, tokenize
+from loamstack.llm import neighbours, split, terms, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +17,25 @@ def p1_similar(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar(table(spark, folder, "vecs"), p=neighbours.Params(floor=-1.0))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split.split_tables(table(spark, folder, "sections"), table(spark, folder, "chunks"))
+    return pieces.where("ordinal = 0").select("item_kind", "item_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split.split_tables(table(spark, folder, "sections"), table(spark, folder, "chunks"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.most_distinctive(table(spark, folder, "chunks", "path", "chunk_key", "text"))
+
+
+def p3_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.term_weights(table(spark, folder, "chunks", "path", "chunk_key", "text")).select("path", "term", F.col("log_entropy").alias("score"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p8_ids)}
