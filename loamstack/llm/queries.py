@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.io import table
-from loamstack.llm import neighbours, split, terms, tokenize
+from loamstack.llm import encoding, markup, neighbours, split, terms, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,8 +34,24 @@ def p3_log_entropy(spark: SparkSession, folder: str) -> DataFrame:
     return terms.term_weights(table(spark, folder, "chunks", "path", "chunk_key", "text")).select("path", "term", F.col("log_entropy").alias("score"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repair(table(spark, folder, "chunks", "chunk_key", "text")).where("garbled").select("chunk_key").distinct()
+
+
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repair(table(spark, folder, "chunks", "chunk_key", "text")).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_texts(table(spark, folder, "chunks", "chunk_key", "text")).where(F.size("kinds") > 0).select("chunk_key").distinct()
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_texts(table(spark, folder, "chunks", "chunk_key", "text")).distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p8_ids)}
