@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.io import table
-from loamstack.llm import encoding, markup, neighbours, split, terms, tokenize
+from loamstack.llm import encoding, markup, neighbours, scans, split, terms, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,8 +50,16 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean_texts(table(spark, folder, "chunks", "chunk_key", "text")).distinct()
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(table(spark, folder, "chunks", "chunk_key", "text", "path", "page")).where(F.size("kinds") > 0).select("chunk_key").distinct()
+
+
+def p7_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(table(spark, folder, "chunks", "chunk_key", "text", "path", "page")).distinct()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids)}
