@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.io import table
-from loamstack.llm import encoding, markup, neighbours, quality, scans, split, terms, tokenize
+from loamstack.llm import encoding, markup, mix, neighbours, quality, scans, split, terms, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,18 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"))
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.shares(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+def p9_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.shards(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words")).where("not prose").select("doc_id").distinct()
 
@@ -70,4 +82,4 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats)}
