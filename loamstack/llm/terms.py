@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -24,15 +24,17 @@ def term_weights(df: DataFrame, record: str = "path", piece: str = "chunk_key",
     # Pieces with near keys go to one task, which puts most pieces of a record together without gathering a large record.
     near = F.floor(F.col("_p") / 512) if isinstance(df.schema[piece].dataType, NumericType) else F.pmod(F.xxhash64("_p"), F.lit(64))
     merged = rows.where("_t is not null").withColumn("_b", near).repartition("_r", "_b").groupBy("_r", "_b", "_p").agg(F.concat_ws("\n", F.collect_set("_t")).alias("_t"))
-    words = merged.select("_r", F.expr(f"regexp_extract_all(lower(_t), '{TERM}', 0)").alias("_w"))
+    words = merged.select("_r", "_b", F.expr(f"regexp_extract_all(lower(_t), '{TERM}', 0)").alias("_w"))
     marked = F.transform("_w", lambda t, i: F.struct(t.alias("term"), (F.array_position("_w", t) == i + 1).cast("int").alias("first")))
-    local = words.select("_r", F.inline(marked)).groupBy("_r", "term").agg(F.sum("first").alias("pieces"), F.count("*").alias("tf"))
-    spread = local.groupBy("term").agg(F.count("*").alias("records"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log("tf")).alias("s"))
+    # Added up where the pieces are, so that a term is sent once for each record and 512 of its pieces at most.
+    there = words.select("_r", "_b", F.inline(marked)).groupBy("_r", "_b", "term").agg(F.sum("first").alias("pieces"), F.count("*").alias("tf"))
+    local = there.repartition("term").groupBy("term", "_r").agg(F.sum("pieces").alias("pieces"), F.sum("tf").alias("tf"))
+    term = Window.partitionBy("term")
+    spread = local.select("*", F.count("*").over(term).alias("records"), F.sum("tf").over(term).alias("gf"), F.sum(F.col("tf") * F.log("tf")).over(term).alias("s"))
     entropy = F.log("gf") - F.col("s") / F.col("gf")
     norm = F.when(F.col("total") > 1, entropy / F.log("total")).otherwise(0.0)
     return (
-        local.join(spread, "term")
-        .crossJoin(F.broadcast(total))
+        spread.crossJoin(F.broadcast(total))
         .select(
             F.col("_r").alias(record), "term", "pieces", "tf", "records", F.col("total").cast("bigint").alias("total"),
             F.round(F.log1p("tf") * F.greatest(1 - norm, F.lit(0.0)), 9).alias("log_entropy"),
