@@ -19,8 +19,9 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Divided by its length; all NaN for a zero vector, as there is no direction."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(x.cast("double") / F.nullif(n, F.lit(0.0))))
+    # The length is bound once to a variable; written into the inner function it would be computed for every element.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.when(n == 0, F.lit(float("nan"))).otherwise(x.cast("double") / F.nullif(n, F.lit(0.0)))))
+    return F.element_at(scaled, 1)
 
 
 def masked_mean(hidden: Column, mask: Column) -> Column:

@@ -1,12 +1,221 @@
-"""Queries of the engine's own operators over the test tables."""
+"""Queries of the engine's own operators over the test tables, and p4_found. Each reads its whole tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamstack.functions import chunking, text, vectors
 from loamstack.io import table
-from loamstack.operators import ledger
+from loamstack.operators import bm25, dense, embed, fusion, indexer, ledger, search, stats
+from loamstack.operators.store import Store
+from loamstack.session import shared_dir
+
+#: The stated queries: their ids and texts. One has stopwords only, one is blank.
+ASKED = [
+    (1, "how is the index rebuilt at night"),
+    (2, "invoice tolerance of the archive room"),
+    (3, "Suchindex und Prüfliste"),
+    (4, "what is it and why"),
+    (5, ""),
+    (6, "retriever vector score, latency-budget! café"),
+]
+ROOT = "/srv/corpus/tegux"
+
+
+def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Chunks without their repeated rows."""
+    return table(spark, folder, "chunks", "chunk_key", *columns).where("chunk_key is not null").dropDuplicates(["chunk_key"])
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    usable = (F.size("vecs") == 384) & F.forall("vecs", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return table(spark, folder, "vecs").where(usable).dropDuplicates(["chunk_key"]).select("chunk_key", F.col("vecs").alias("embedding"))
+
+
+def _asked(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """The stated queries; with ``folder``, each with the vector of one of the smallest chunk keys as its embedding."""
+    asked = spark.createDataFrame(ASKED, "query_id int, query string")
+    if folder is None:
+        return asked
+    first = _vectors(spark, folder).orderBy("chunk_key").limit(len(ASKED))
+    numbered = first.select(F.row_number().over(Window.orderBy("chunk_key")).alias("query_id"), "embedding")
+    return asked.join(numbered, "query_id", "left")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text")
+
+
+# ---- chunking and text ----
+
+
+def chunk_documents(spark, folder):
+    return chunking.chunk_rows(_documents(spark, folder), ["doc_id"])
+
+
+def chunk_hard_split(spark, folder):
+    @F.udf("array<string>")
+    def windows(t):
+        return list(chunking.sentence_windows(t)) if t is not None else []
+
+    base = _documents(spark, folder).select("doc_id", text.strip(F.col("text")).alias("t")).where("t <> ''")
+    return base.select("doc_id", F.posexplode(windows("t")).alias("ordinal", "text")).where(F.length("text") >= chunking.LEAST)
+
+
+def chunk_paragraphs(spark, folder):
+    parts = F.transform(F.split("text", r"\n\n|\r\n\r\n"), lambda p: text.strip(p))
+    return _documents(spark, folder).select("doc_id", F.posexplode(F.filter(parts, lambda p: p != "")).alias("ordinal", "paragraph"))
+
+
+def chunk_pack_overlap(spark, folder):
+    """Packing with overlap, over the paragraphs that fit a chunk."""
+    parts = F.filter(F.transform(F.split("text", r"\n\n|\r\n\r\n"), lambda p: text.strip(p)), lambda p: (p != "") & (F.length(p) <= chunking.TARGET))
+    return chunking.chunk_rows(_documents(spark, folder).select("doc_id", F.array_join(parts, "\n\n").alias("text")), ["doc_id"])
+
+
+def chunk_sections_pages(spark, folder):
+    """Chunks of the sections of each file in order, each with its page; the number of chunks of each page."""
+    rows = table(spark, folder, "sections").distinct().where("path is not null")
+    files = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "section_id", "text", "page"))), lambda s: F.struct(s["text"].alias("text"), s["page"].alias("page"))).alias("sections"))
+    return chunking.chunk_section_rows(files, ["path"])
+
+
+def tokenize(spark, folder):
+    return _documents(spark, folder).select("doc_id", text.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct")).where("n_terms >= 0")
+
+
+def query_terms(spark, folder):
+    return _asked(spark).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("terms"))
+
+
+def clean_text(spark, folder):
+    return _documents(spark, folder).select("doc_id", text.clean(F.col("text")).alias("clean"))
+
+
+def tidy_text(spark, folder):
+    return _documents(spark, folder).select("doc_id", text.tidy(F.col("text")).alias("tidy"))
+
+
+def has_text(spark, folder):
+    return _chunks(spark, folder, "text").select("chunk_key", text.has_text(F.col("text")).alias("has_text"))
+
+
+def content_hash_dups(spark, folder):
+    return _documents(spark, folder).where("text is not null").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+# ---- keyword search ----
+
+
+def doc_freq(spark, folder):
+    return bm25.doc_freq(bm25.postings(_chunks(spark, folder, "text"))).select("term", "df")
+
+
+def field_len(spark, folder):
+    return bm25.field_len(_chunks(spark, folder, "text")).select("chunk_key", "len")
+
+
+def bm25_topk(spark, folder):
+    return bm25.search(_chunks(spark, folder, "text"), _asked(spark), 20)
+
+
+def bm25_two_field(spark, folder):
+    return bm25.search(_chunks(spark, folder, "text", "path"), _asked(spark), 20, fields={"text": "text", "path": "path"})
+
+
+# ---- vectors ----
+
+
+def dense_topk(spark, folder):
+    """Of every 50th vector the 10 most similar of all."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return dense.scan(rows, rows.where("vec_id % 50 = 0"), 10, key="vec_id", query_id="vec_id")
+
+
+def dense_floor(spark, folder):
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return dense.scan(rows, rows.where("vec_id % 50 = 0"), 10, floor=0.3, key="vec_id", query_id="vec_id")
+
+
+def dense_chunks(spark, folder):
+    return dense.scan(_vectors(spark, folder), _asked(spark, folder), 20)
+
+
+def l2_normalize(spark, folder):
+    unit = vectors.l2_normalize(F.col("embedding"))
+    rows = _vectors(spark, folder).where(vectors.norm(F.col("embedding")) > 0).select("chunk_key", vectors.norm(F.col("embedding")).alias("n"), unit.alias("u"))
+    return rows.select("chunk_key", F.round("n", 6).alias("length"), F.round(vectors.dot(F.col("u"), F.col("u")), 6).alias("unit_dot"), F.round(F.element_at("u", 1), 6).alias("first"))
+
+
+def hashed_embedding(spark, folder):
+    return embed.hashed_parts(_documents(spark, folder), "doc_id")
+
+
+# ---- fusion ----
+
+
+def rrf_fuse(spark, folder):
+    keyed = _chunks(spark, folder, "path", "ordinal")
+    near = dense.scan(_vectors(spark, folder), _asked(spark, folder), 20).join(keyed, "chunk_key")
+    found = bm25.score(*(f(_chunks(spark, folder, "text")) for f in (bm25.postings, bm25.field_len)), _asked(spark)).join(keyed, "chunk_key")
+    return fusion.rrf([near, bm25.top(found, 20, "path", "ordinal")], 5)
+
+
+def hybrid_search(spark, folder):
+    return search.hybrid(_chunks(spark, folder, "path", "ordinal", "text", "page"), _vectors(spark, folder), _asked(spark, folder), 5)
+
+
+def render_hits(spark, folder):
+    return fusion.render(hybrid_search(spark, folder), lines=None)
+
+
+def chunk_by_ordinal(spark, folder):
+    return search.by_ordinal(_chunks(spark, folder, "path", "ordinal", "text", "page"), "/srv/corpus/ledger/rolling-changelog.md", 3)
+
+
+# ---- store and indexing ----
+
+
+def stats_totals(spark, folder):
+    return stats.totals(table(spark, folder, "docs", "path", "size"), _chunks(spark, folder))
+
+
+def stats_by_ext(spark, folder):
+    return stats.by_extension(table(spark, folder, "docs", "path"))
+
+
+def latency_percentiles(spark, folder):
+    return stats.latency(table(spark, folder, "events", "event_type", "value"), "event_type", "value")
+
+
+def _scan(spark, folder):
+    newest = F.max(F.struct("seen_at", "scan_id", "size", "mtime_secs")).alias("x")
+    return table(spark, folder, "file_scans").where("path is not null").groupBy("path").agg(newest).select("path", "x.size", "x.mtime_secs", text.ext_of(F.col("path")).alias("ext"))
+
+
+def change_set(spark, folder):
+    known = table(spark, folder, "docs").select("path", "size", "mtime_secs", F.col("hash").alias("content_hash"), F.greatest(F.size("chunk_keys"), F.lit(-1)).alias("n_chunks"))
+    return indexer.change_set(_scan(spark, folder), known, indexer.Options(retry_empty=True)).select("path", "ext", "action")
+
+
+def prune_scoped(spark, folder):
+    return indexer.missing(table(spark, folder, "docs", "path"), _scan(spark, folder), "/srv/corpus")
+
+
+def store_upsert(spark, folder):
+    """Documents of a store after all were put in, one root was deleted, and the files of the last pages were put in anew."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    chunks = _chunks(spark, folder, "path", "ordinal", "text", "page").drop("chunk_key")
+    docs = chunks.groupBy("path").agg(F.lit("first").alias("content_hash"), F.lit(1).cast("bigint").alias("mtime_secs"), F.count("*").alias("size"))
+    none = spark.createDataFrame([], "path string, ordinal int, embedding array<float>")
+    store.upsert(docs, chunks, vectors=none)
+    store.delete(docs.where(text.under_root(F.col("path"), ROOT)))
+    paged = chunks.where("page = 1").select("path").distinct()
+    store.upsert(docs.join(paged, "path", "left_semi").withColumn("content_hash", F.lit("second")), chunks.where("page is not null"), vectors=none)
+    return store.docs().select("path", "content_hash", "n_chunks")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,4 +223,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.catch_up(spark, scans, table(spark, folder, "docs", "path", "hash")).select("path")
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+_ALL = (
+    chunk_documents, chunk_hard_split, chunk_paragraphs, chunk_pack_overlap, chunk_sections_pages, tokenize, query_terms, clean_text, tidy_text,
+    has_text, content_hash_dups, doc_freq, field_len, bm25_topk, bm25_two_field, dense_topk, dense_floor, dense_chunks, l2_normalize,
+    hashed_embedding, rrf_fuse, hybrid_search, render_hits, chunk_by_ordinal, stats_totals, stats_by_ext, latency_percentiles, change_set,
+    prune_scoped, store_upsert, p4_found,
+)
+QUERIES = {f.__name__: f for f in _ALL}
