@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ _TRUE = sorted({b for _, b in CONFUSIONS}, key=len, reverse=True)
 _STRANGE = re.compile(r"[0-9!|]")
 
 WORD = re.compile(r"[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*|[015689!|](?=[^\W\d_]{2})[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*")
+WORD_ANY = re.compile(r"(?<![\w!|])" + f"(?:{WORD.pattern})" + r"(?![\w|])")
 _DUMP = re.compile(r"[0-9A-Za-z+/=_-]{24,}|\S*[/\\=][^\s]*|[A-Za-z]*[0-9][0-9A-Za-z]*\d[0-9A-Za-z]*")
 _BREAK = re.compile(r"([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
 _LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -45,9 +47,24 @@ _END = re.compile(r"[.!?:;,…”\"»)\]}>|*_`]$")
 _BUCKETS = 1 << 18
 
 
+class _Words(dict):
+    """Words of what lies between white space, found once for each such string; emptied when it holds many."""
+
+    def __missing__(self, part: str) -> tuple[str, ...]:
+        found = tuple(WORD.findall(_DUMP.sub(" ", part)))
+        if len(self) > 400_000:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = found
+        return found
+
+
+_words = _Words()
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased words, with the digits and signs inside them that letters may have become; no codes, paths or dumps."""
-    return WORD.findall(_DUMP.sub(" ", text.lower()))
+    return list(chain.from_iterable(map(_words.__getitem__, text.lower().split())))
 
 
 def _pair(a: str, b: str) -> int:
@@ -220,17 +237,18 @@ class Repairer:
         drop: set[int] = set()
         short = {i: b for i, b in _candidates(text)} if header_lines else {}
         for i, line in enumerate(lines):
-            if not line or len(line) > 90:
+            size = len(line)
+            if not size or size > 90:
                 continue
-            if _PAGE.match(line.rstrip()):
+            if size <= 40 and _PAGE.match(line.rstrip()):
                 kinds.add("page")
                 drop.add(i)
-            elif _BARE.match(line.strip()):
+            elif size <= 40 and _BARE.match(line.strip()):
                 near = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
                 if not any(_BARE.match(n) for n in near) and not (i and near[0].endswith(":")) and len(lines) > 1 and len(line.strip()) <= 3:
                     kinds.add("page")
                     drop.add(i)
-            elif (m := _NUMBERED.match(line.strip())) and _plain(line) and sum(bool(_NUMBERED.match(x.strip())) for x in lines) <= 2:
+            elif "   " in line and (m := _NUMBERED.match(line.strip())) and _plain(line) and sum(bool(_NUMBERED.match(x.strip())) for x in lines) <= 2:
                 kinds.add("header")
                 drop.add(i)
             elif i in short and short[i] in header_lines:
@@ -264,12 +282,13 @@ class Repairer:
         if re.search(r"[^\W\d_][‐¬\xad]\s*$", body):
             kinds.add("break")
         found = words_of(body)
-        wrong = {w for w in found if w in self.known}
+        wrong = {w for w in set(found) if w in self.known} if self.known else ()
         if wrong:
             context = {w: (found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "") for i, w in enumerate(found) if w in wrong}
             fixed = {w: self._best(w, *context[w]) for w in wrong}
-            pattern = re.compile(rf"(?<![\w!|])(?:{'|'.join(re.escape(w) for w in sorted(wrong, key=len, reverse=True))})(?![\w|])", re.I)
-            body, n = pattern.subn(lambda m: self._cased(m[0], fixed.get(m[0].lower()) or m[0]), body)
+            before = body
+            body = WORD_ANY.sub(lambda m: self._cased(m[0], fixed.get(m[0].lower()) or m[0]) if m[0].lower() in wrong else m[0], body)
+            n = body != before
             if n:
                 kinds.add("misread")
         if not kinds:
