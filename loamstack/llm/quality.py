@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+import string
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,15 @@ _COMMENT = re.compile(r"^\s*(?://|#|--|/\*)\s?\S")
 _CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|fn|pub|let|const|struct|impl|import|from|return|for|if|elif|while|echo|self|done|fi|else)\b.*[:;{(=\[]|\w+\(.*\)|[=!<>]=|->|=>|\$\w|::")
 
 
+_ASCII = re.compile("[\x00-\x7f]+")
+_LETTERS, _DIGITS, _CAPITALS = (signs.encode() for signs in (string.ascii_letters, string.digits, string.ascii_uppercase))
+
+
+@lru_cache(maxsize=4)
+def _union(lists: tuple[frozenset[str], ...]) -> frozenset[str]:
+    return frozenset().union(*lists)
+
+
 def running_chars(text: str, common: frozenset[str]) -> int:
     """Characters that stand in running text.
 
@@ -75,7 +87,7 @@ def _is_running(text: str, common: frozenset[str], strict: bool = False) -> bool
     tokens = len(_TOKEN.findall(text))
     if len(words) < (5 if strict else 4) or tokens == 0:
         return False
-    hits = sum(w.lower() in common for w in words)
+    hits = sum(map(common.__contains__, map(str.lower, words)))
     letters = sum(map(len, words))
     return hits / len(words) >= 0.16 and letters >= 0.6 * len(text) and (not strict or bool(_STOP.search(text)))
 
@@ -85,21 +97,25 @@ def statistics(text: str, common: dict[str, frozenset[str]], lang: str | None) -
 
     The language is the one of which most words are common words; a known ``lang`` wins ties.
     """
-    words = [w.lower() for w in _WORD.findall(text)]
+    words = _WORD.findall(text.lower())
     n = len(words)
-    hits = {code: sum(w in own for w in words) for code, own in common.items()}
+    counts = Counter(words)
+    hits = {code: sum(counts[w] for w in own & counts.keys()) for code, own in common.items()}
     best = max(sorted(hits), key=lambda c: (hits[c], c == lang), default="")
-    every = frozenset().union(*common.values())
-    visible = [c for c in text if not c.isspace()] or [" "]
-    letters = sum(c.isalpha() for c in visible)
-    digits = sum(c.isdigit() for c in visible)
-    upper = sum(c.isupper() for c in visible)
+    every = _union(tuple(common.values()))
+    visible = "".join(text.split()) or " "
+    # ASCII is counted by deleting, which takes a fraction of the time of asking every character.
+    raw = visible.encode("ascii", "ignore")
+    other = "" if len(raw) == len(visible) else _ASCII.sub("", visible)
+    letters = len(raw) - len(raw.translate(None, _LETTERS)) + sum(map(str.isalpha, other))
+    digits = len(raw) - len(raw.translate(None, _DIGITS)) + sum(map(str.isdigit, other))
+    upper = len(raw) - len(raw.translate(None, _CAPITALS)) + sum(map(str.isupper, other))
     lines = [x for x in text.split("\n") if x.strip()]
     size = len(visible)
     return (
         best or lang or "", n, sum(map(len, words)) / n if n else 0.0, (size - letters - digits) / size, digits / size, upper / max(letters, 1),
         sum(x.rstrip().endswith(_ENDS) for x in lines) / max(len(lines), 1), (hits[best] / n if n else 0.0) if hits else 0.0,
-        len(set(words)) / math.sqrt(n) if n else 0.0, min(1.0, running_chars(text, every) / max(len(text.strip()), 1)),
+        len(counts) / math.sqrt(n) if n else 0.0, min(1.0, running_chars(text, every) / max(len(text.strip()), 1)),
     )
 
 
