@@ -31,7 +31,7 @@ _ENDS = (".", "!", "?", "…", "”", "\"", "»", "。", "!", "?")
 _STOP = re.compile(r"[.!?…][”\"»)’']*(?=\s|$)")
 _ITEM = re.compile(r"^\s*(?:[-*+•·–‣◦]|\(?[0-9]{1,4}[.)\]]|\(?[a-zA-Z][.)]|[IVXLivxl]{1,6}[.)]|\|)\s*(?:\[[ xX]\]\s*)?")
 _COMMENT = re.compile(r"^\s*(?://|#|--|/\*)\s?\S")
-_CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|fn|pub|let|const|struct|impl|import|from|return|for|if|elif|while|echo|self|done|fi|else)\b.*[:;{(=\[]|\w+\(.*\)|[=!<>]=|->|=>|\$\w|::")
+_CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|fn|pub|let|const|struct|impl|import|from|return|for|if|elif|while|echo|self|done|fi|else)\b.*[:;{(=\[]|\w\(.*\)|[=!<>]=|->|=>|\$\w|::")
 
 
 _ASCII = re.compile("[\x00-\x7f]+")

@@ -36,8 +36,10 @@ _STRANGE = re.compile(r"[0-9!|]")
 
 WORD = re.compile(r"[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*|[015689!|](?=[^\W\d_]{2})[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*")
 WORD_ANY = re.compile(r"(?<![\w!|])" + f"(?:{WORD.pattern})" + r"(?![\w|])")
-_DUMP = re.compile(r"[0-9A-Za-z+/=_-]{24,}|\S*[/\\=][^\s]*|[A-Za-z]*[0-9][0-9A-Za-z]*\d[0-9A-Za-z]*")
+_PATH = re.compile(r"[/\\=]")
+_DUMP = re.compile(r"[0-9A-Za-z+_-]{24,}|[A-Za-z]*[0-9][0-9A-Za-z]*\d[0-9A-Za-z]*")
 _BREAK = re.compile(r"([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
+_SOFT = re.compile(r"[^\W\d_]+(?:\xad[^\W\d_]+)+")
 _LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _FUSED = re.compile("[" + "".join(_LIGATURE) + "]")
 _PAGE = re.compile(r"^(?:(?:Page|Seite|Página|Pagina|page|seite|S\.|p\.|pp\.|P\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?|[-–—] ?\d{1,4} ?[-–—]|\d{1,4} \||\[\d{1,4}\]|\d{1,4}/\d{1,4}| {10,}\d{1,4}|(?=[ivxl])x{0,3}(?:ix|iv|v?i{0,3})|l?x{0,3}(?:ix|iv|v?i{0,3}))$")
@@ -51,7 +53,7 @@ class _Words(dict):
     """Words of what lies between white space, found once for each such string; emptied when it holds many."""
 
     def __missing__(self, part: str) -> tuple[str, ...]:
-        found = tuple(WORD.findall(_DUMP.sub(" ", part)))
+        found = () if _PATH.search(part) else tuple(WORD.findall(_DUMP.sub(" ", part)))
         if len(self) > 400_000:
             self.clear()
         if len(part) <= 64:
@@ -281,6 +283,8 @@ class Repairer:
             body = _BREAK.sub(rejoin, body)
         if re.search(r"[^\W\d_][‐¬\xad]\s*$", body):
             kinds.add("break")
+        if kinds and "\xad" in body:
+            body = _SOFT.sub(lambda m: m[0].replace("\xad", "") if m[0].replace("\xad", "").lower() in self.frequent else m[0], body)
         found = words_of(body)
         wrong = {w for w in set(found) if w in self.known} if self.known else ()
         if wrong:
