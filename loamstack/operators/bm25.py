@@ -46,13 +46,25 @@ def score(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key: str =
     are those of all rows. The query side is broadcast by Spark if its size allows and shuffled otherwise.
     """
     asked = asked_terms(queries, query_id, query)
+    met = posted.join(asked.select("term").distinct(), "term", "left_semi").join(lengths.select("field", key, "len"), ["field", key])
+    return _weighted(met, lengths, asked, key)
+
+
+def score_rows(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", fields: dict[str, str] | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """As ``score`` for rows without stored postings: analysed, filtered to the asked terms and counted where they are."""
+    asked = asked_terms(queries, query_id, query)
+    base = analysed(chunks, key, fields or {"text": "text"}).select(key, "field", F.size("terms").cast("bigint").alias("len"), "terms")
+    hits = base.select(key, "field", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return _weighted(hits.groupBy("field", "term", key, "len").agg(F.count("*").alias("tf")), base, asked, key)
+
+
+def _weighted(met: DataFrame, lengths: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     stats = lengths.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
-    met = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    freq = doc_freq(met)
     tf = F.col("tf").cast("double")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    parts = met.join(freq, ["field", "term"]).join(lengths, ["field", key]).join(F.broadcast(stats), "field").join(asked, "term")
+    # As many statistics as there are fields.
+    parts = met.join(doc_freq(met), ["field", "term"]).join(F.broadcast(stats), "field").join(asked, "term")
     return parts.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
 
 
@@ -63,6 +75,5 @@ def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_key", fields: dict[str, str] | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """BM25 over rows without stored postings: analysed, filtered to the asked terms and counted in one plan."""
-    fields = fields or {"text": "text"}
-    return top(score(postings(chunks, key, fields), field_len(chunks, key, fields), queries, key, query_id, query), k, key)
+    """The ``k`` best rows of each query by BM25, without stored postings."""
+    return top(score_rows(chunks, queries, key, fields, query_id, query), k, key)

@@ -29,9 +29,10 @@ def hybrid(
     keyed = chunks.select("chunk_key", "path", "ordinal")
     near = dense.scan(vectors, queries, BUDGET * k, min_similarity)
     if posted is None or lengths is None:
-        fields = fields or {"text": "text", "path": "path"}
-        posted, lengths = bm25.postings(chunks, fields=fields), bm25.field_len(chunks, fields=fields)
-    scored = bm25.score(posted, lengths, queries).join(keyed, "chunk_key")
+        scored = bm25.score_rows(chunks, queries, fields=fields or {"text": "text", "path": "path"})
+    else:
+        scored = bm25.score(posted, lengths, queries)
+    scored = scored.join(keyed, "chunk_key")
     words = bm25.top(scored, BUDGET * k, "path", "ordinal")
     fused = fusion.rrf([near.join(keyed, "chunk_key"), words], k)
     return fusion.hydrate(fused, chunks.select("path", "ordinal", "text", "page"))

@@ -11,7 +11,7 @@ from loamstack.functions import chunking, text, vectors
 from loamstack.io import table
 from loamstack.operators import bm25, dense, embed, fusion, indexer, ledger, search, stats
 from loamstack.operators.store import Store
-from loamstack.session import shared_dir
+from loamstack.session import cut_lineage, shared_dir
 
 #: The stated queries: their ids and texts. One has stopwords only, one is blank.
 ASKED = [
@@ -31,7 +31,8 @@ def _chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    usable = (F.size("vecs") == 384) & F.forall("vecs", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # NaN is the greatest of an array, so it fails the first comparison; nulls are not counted by the last.
+    usable = (F.array_max("vecs") < float("inf")) & (F.array_min("vecs") > -float("inf")) & (F.size("vecs") == 384) & (F.size(F.array_compact("vecs")) == 384)
     return table(spark, folder, "vecs").where(usable).dropDuplicates(["chunk_key"]).select("chunk_key", F.col("vecs").alias("embedding"))
 
 
@@ -158,14 +159,16 @@ def hashed_embedding(spark, folder):
 
 
 def rrf_fuse(spark, folder):
-    keyed = _chunks(spark, folder, "path", "ordinal")
-    near = dense.scan(_vectors(spark, folder), _asked(spark, folder), 20).join(keyed, "chunk_key")
-    found = bm25.score(*(f(_chunks(spark, folder, "text")) for f in (bm25.postings, bm25.field_len)), _asked(spark)).join(keyed, "chunk_key")
+    chunks = cut_lineage(_chunks(spark, folder, "path", "ordinal", "text"))
+    near = dense.scan(_vectors(spark, folder), _asked(spark, folder), 20).join(chunks.select("chunk_key", "path", "ordinal"), "chunk_key")
+    found = bm25.score_rows(chunks, _asked(spark)).join(chunks.select("chunk_key", "path", "ordinal"), "chunk_key")
     return fusion.rrf([near, bm25.top(found, 20, "path", "ordinal")], 5)
 
 
 def hybrid_search(spark, folder):
-    return search.hybrid(_chunks(spark, folder, "path", "ordinal", "text", "page"), _vectors(spark, folder), _asked(spark, folder), 5)
+    # The repeated rows are taken out once; all branches of the plan read the result.
+    chunks = cut_lineage(_chunks(spark, folder, "path", "ordinal", "text", "page"))
+    return search.hybrid(chunks, _vectors(spark, folder), _asked(spark, folder), 5)
 
 
 def render_hits(spark, folder):
