@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamstack.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table of ``folder``; only the named columns reach the scan."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -18,7 +18,7 @@ from loamstack.operators import bm25, stats
 from loamstack.operators.embed import Embedder, HashedWords, embed_rows
 from loamstack.operators.ledger import StaleWriter
 from loamstack.schemas import CHUNKS, DOCS, SCHEMA_VERSION, TABLES
-from loamstack.session import cut_lineage
+from loamstack.session import cut_lineage, ship
 
 
 @dataclass
@@ -50,6 +50,7 @@ class Store:
     """A store in ``folder``. ``open`` it again to see what others have published since."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
