@@ -42,7 +42,10 @@ _BREAK = re.compile(r"([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
 _SOFT = re.compile(r"[^\W\d_]+(?:\xad[^\W\d_]+)+")
 _LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _FUSED = re.compile("[" + "".join(_LIGATURE) + "]")
-_PAGE = re.compile(r"^(?:(?:Page|Seite|Página|Pagina|page|seite|S\.|p\.|pp\.|P\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?|[-–—] ?\d{1,4} ?[-–—]|\d{1,4} \||\[\d{1,4}\]|\d{1,4}/\d{1,4}| {10,}\d{1,4}|(?=[ivxl])x{0,3}(?:ix|iv|v?i{0,3})|l?x{0,3}(?:ix|iv|v?i{0,3}))$")
+_PAGE = re.compile(
+    r"^(?:(?:Page|Seite|Página|Pagina|page|seite|S\.|p\.|pp\.|P\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?|[-–—] ?\d{1,4} ?[-–—]|\d{1,4} \|"
+    r"|\[\d{1,4}\]|\d{1,4}/\d{1,4}| {10,}\d{1,4}|(?=[ivxl])l?x{0,3}(?:ix|iv|v?i{0,3}))$"
+)
 _BARE = re.compile(r"^\d{1,4}$")
 _NUMBERED = re.compile(r"^(?:(\d{1,4}) {3,}(\S.{1,70})|(\S.{1,70}?) {3,}(\d{1,4}))$")
 _END = re.compile(r"[.!?:;,…”\"»)\]}>|*_`]$")

@@ -17,7 +17,7 @@ ROWS = [
     (1, "/a", 1, "Small Kiln Guide\nThe machine leamed to retum the docurnent in the morning."), (2, "/a", 2, "Small Kiln Guide\nThe rnachine should rem-\nember the dead-\nline now.\n- 2 -"),
     (3, "/b", None, "The sum¬\nmary was wri\xadtten bef0re the dead!ine."), (4, "/b", None, "Page 3 of 9\nThe kernel summary."), (5, "/c", None, "a rota on-\ncall for the morning"),
     (6, "/c", None, "Codes like DOC-208, v2 and E0382 in room 3s stay."), (7, "/c", None, None), (8, "/c", None, ""), (9, "/c", None, "Readings:\n727\n288\n690"), (10, None, None, PROSE), (4, "/b", None, "Page 3 of 9\nThe kernel summary."),
-    (11, "/c", None, "The ﬁrst deadline and the ﬂoor. The machine oﬀered the document."), (12, "/d", 1, "Storage\nThe machine learned to return."), (13, "/c", None, "x" * 100_000),
+    (11, "/c", None, "The ﬁrst deadline and the ﬂoor. The machine oﬀered the document."), (12, "/d", 1, "Storage\nThe machine learned to return."), (13, "/c", None, "x" * 100_000), (14, "/c", None, " \n \n \nThe machine learned."),
 ]
 
 
@@ -36,10 +36,10 @@ def test_repairs(found):
 
 
 def test_leaves_alone(found):
-    for key in (5, 6, 7, 8, 9, 10, 12, 13):
+    for key in (5, 6, 7, 8, 9, 10, 12, 13, 14):
         text = next(t for k, _, _, t in ROWS if k == key)
         assert (found[key]["repaired"], found[key]["kinds"]) == (text, []), key
-    assert len(found) == 13
+    assert len(found) == 14
 
 
 def test_empty(spark):
