@@ -44,10 +44,10 @@ def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Rows of the ``k`` nearest other rows by dot product, block by block."""
     k = min(k, len(x) - 1)
     out = np.empty((len(x), k), dtype=np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -9
-        out[at : at + 1024] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[at : at + 256] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -209,10 +209,11 @@ def similar(df: DataFrame, key: str = "chunk_key", vec: str = "vecs", p: Params
 
     # A sample by hash of the key, of a bounded size whatever the table is. Unfit vectors may be among it.
     total = src.count()
-    share = min(1.0, 1.2 * p.sample / max(total, 1))
+    share = min(1.0, 1.1 * p.sample / max(total, 1))
     picked = src if share == 1 else src.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = picked.limit(int(p.sample * 1.3)).toArrow()
+    rows = picked.limit(int(p.sample * 1.2)).toArrow()
     _, x = _valid(rows.column(1).combine_chunks(), p.dims) if rows.num_rows else (None, np.empty((0, p.dims), np.float32))
+    del rows
     x = np.unique(_unit(x).astype(np.float32), axis=0)[: p.sample] if len(x) else x
     router = fit_router(x, p, total)
     # Of each part the slices its queries are spread over, from its share of the sample.
