@@ -38,7 +38,8 @@ WORD = re.compile(r"[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*|[015689!|](?=[^\W\d_
 WORD_ANY = re.compile(r"(?<![\w!|])" + f"(?:{WORD.pattern})" + r"(?![\w|])")
 _PATH = re.compile(r"[/\\=]")
 _DUMP = re.compile(r"[0-9A-Za-z+_-]{24,}|[A-Za-z]*[0-9][0-9A-Za-z]*\d[0-9A-Za-z]*")
-_BREAK = re.compile(r"([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
+_HYPHENS = re.compile(r"[-‐¬\xad] ?\n")
+_BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
 _SOFT = re.compile(r"[^\W\d_]+(?:\xad[^\W\d_]+)+")
 _LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 _FUSED = re.compile("[" + "".join(_LIGATURE) + "]")
@@ -282,9 +283,10 @@ class Repairer:
             kinds.add("break")
             return a + b
 
-        if "\n" in body:
+        if _HYPHENS.search(body):
             body = _BREAK.sub(rejoin, body)
-        if re.search(r"[^\W\d_][‐¬\xad]\s*$", body):
+        end = body.rstrip()[-2:]
+        if len(end) == 2 and end[1] in "‐¬\xad" and end[0].isalpha():
             kinds.add("break")
         if kinds and "\xad" in body:
             body = _SOFT.sub(lambda m: m[0].replace("\xad", "") if m[0].replace("\xad", "").lower() in self.frequent else m[0], body)
