@@ -8,6 +8,7 @@ the pairs of neighbouring characters of all its words that are not plain ASCII,
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import math
@@ -25,6 +26,10 @@ _WORD = re.compile("(?<![^ \n\t\r])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x
 _LOST = re.compile(r"(?<![\w?!])\?{2,}(?: \?{2,}){1,}|(?<=[a-z])\?(?=[a-z]{2})(?![a-z]+=)|(?<=[^\W\d_])\?\n(?=[a-zà-ÿ])")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
 _LINK = re.compile(r"[/=&#]")
+# Parts of a long word, ever smaller ones. They end at ASCII characters, which no encoded character has within, or at wide blanks.
+_PARTS = [re.compile(p) for p in ("[!-~]{0,8}[^\x00-\x7f](?:[^\x00-\x7f]|[!-~]{1,8}(?=[^\x00-\x7f]))*+[!-~]{0,8}", r"\S+", "[!-~]{0,8}[^\x00-\x7f]+[!-~]{0,8}")]
+_ODD = re.compile("[\x7f-\x9f�]")
+_LONG = 200
 
 # Encodings that texts are wrongly read in, and those they are truly in.
 WRONG = ("cp1252", "mac_roman", "cp1251", "cp1250", "cp850", "cp437", "koi8_r")
@@ -84,14 +89,17 @@ class Repairer:
     def cost(self, word: str) -> float:
         """Sum over neighbouring characters of how rare the pair is; control characters cost extra."""
         costs, unseen = self.costs, self.unseen
-        return sum(costs.get(p, unseen) for p in pairs_of(word)) + 6.0 * sum("\x7f" <= c < "\xa0" or c == "�" for c in word)
+        odd = 6.0 * len(_ODD.findall(word))
+        if len(word) > _LONG:
+            shape = f"^{word}$"
+            return sum(n * costs.get(_class(a) + _class(b), unseen) for (a, b), n in Counter(zip(shape, shape[1:])).items()) + odd
+        return sum(costs.get(p, unseen) for p in pairs_of(word)) + odd
 
     def _next(self, word: str):
         for codec in WRONG:
-            table = _WRITE[codec]
             try:
-                raw = bytes([c if c < 128 else table[c] for c in map(ord, word)])
-            except KeyError:
+                raw = codecs.charmap_encode(word, "strict", _WRITE[codec])[0]
+            except UnicodeEncodeError:
                 continue
             try:
                 yield raw.decode("utf-8"), 0.0
@@ -99,8 +107,7 @@ class Repairer:
                 pass
             for true in TRUE:
                 if true != codec:
-                    read = _READ[true]
-                    yield "".join([read[b] if b > 127 else chr(b) for b in raw]), self.even
+                    yield codecs.charmap_decode(raw, "strict", _READ[true])[0], self.even
 
     def _known(self, fixed: str, word: str) -> bool:
         """Whether the corpus has all words of ``fixed`` that are not plain ASCII, more often than those of ``word``."""
@@ -134,25 +141,29 @@ class Repairer:
         return best, start - lowest if best != word else 0.0
 
     def word(self, word: str) -> tuple[str, float]:
-        """As ``search``, remembered. Of long words only the parts that are not ASCII are searched, with what is around."""
+        """As ``search``, remembered. Where a long word has no way back as a whole, its parts are searched."""
         found = self.known.get(word)
         if found is None:
-            if len(word) > 200:
+            found = self.search(word)
+            if len(word) > _LONG and not found[1]:
                 found = self._long(word)
-            else:
-                found = self.search(word)
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[word] = found
         return found
 
     def _long(self, word: str) -> tuple[str, float]:
-        out, at, gain = [], 0, 0.0
-        for m in re.finditer("[!-~]{0,8}[^\x00-\x7f](?:[^\x00-\x7f]|[!-~]{1,8}(?=[^\x00-\x7f])){0,100}[!-~]{0,8}", word):
-            fixed, won = self.word(m[0])
-            out += [word[at : m.start()], fixed if won else m[0]]
-            gain, at = max(gain, won), m.end()
-        return "".join([*out, word[at:]]), gain
+        for pattern in _PARTS:
+            parts = [m for m in pattern.finditer(word) if not m[0].isascii()]
+            if [m[0] for m in parts] == [word]:
+                continue
+            out, at, gain = [], 0, 0.0
+            for m in parts:
+                fixed, won = self.word(m[0])
+                out += [word[at : m.start()], fixed if won else m[0]]
+                gain, at = max(gain, won), m.end()
+            return "".join([*out, word[at:]]), gain
+        return word, 0.0
 
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """The restored text and whether any passage is garbled, restorable or not. Other texts come back unchanged."""

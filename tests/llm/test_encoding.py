@@ -43,6 +43,26 @@ def test_restores_and_leaves_alone(spark, cases):
     assert not any(r["garbled"] or r["restored"] != GOOD[(k + len(GOOD) * 40) % len(GOOD)] for k, r in found.items() if k < 0)
 
 
+UNSPACED = "日本語の文章は単語の間に空白を置かないので、長い文でも一つの語のように見えます。倉庫の鍵は机の引き出しに入っています。会議の記録は来週までに棚へ戻してください。"
+
+
+@pytest.mark.parametrize("size", [20, 70, 100, 116, 5_000])
+@pytest.mark.parametrize("read", ["latin-1", "mac_roman"])
+def test_length_of_an_unspaced_text_changes_nothing(spark, size, read):
+    good = (UNSPACED * (size // len(UNSPACED) + 1))[:size]
+    found = run(spark, [UNSPACED, good.encode().decode(read), UNSPACED[5:]])
+    assert (found[1]["garbled"], found[1]["restored"]) == (True, good)
+    assert not found[0]["garbled"] and not found[2]["garbled"]
+
+
+def test_garbled_passage_of_a_long_word(spark):
+    honest = "über\xa0den\xa0Zaun\u2003"
+    bad, good = (honest * 30 + x + "\xa0" + honest * 30 for x in ("Prüfliste".encode().decode("latin-1"), "Prüfliste"))
+    found = run(spark, [bad, honest * 60])
+    assert (found[0]["garbled"], found[0]["restored"]) == (True, good)
+    assert not found[1]["garbled"]
+
+
 def test_empty_and_very_long(spark):
     df = spark.createDataFrame([(1, "é" * 200_000 + "x" * 200_000)], "chunk_key long, text string")
     assert not repair(df).first()["garbled"]
