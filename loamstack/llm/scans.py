@@ -37,7 +37,8 @@ _STRANGE = re.compile(r"[0-9!|]")
 WORD = re.compile(r"[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*|[015689!|](?=[^\W\d_]{2})[^\W\d_]+(?:[0156890!|]{1,2}[^\W\d_]+)*")
 WORD_ANY = re.compile(r"(?<![\w!|])" + f"(?:{WORD.pattern})" + r"(?![\w|])")
 _PATH = re.compile(r"[/\\=]")
-_DUMP = re.compile(r"[0-9A-Za-z+_-]{24,}|[A-Za-z]*[0-9][0-9A-Za-z]*\d[0-9A-Za-z]*")
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not (c.isalnum() or c in "/\\=!|"))
+_DUMP = re.compile(r"[0-9A-Za-z+_-]{24,}|(?<![^\W\d_])[^\W\d_]*+\d[^\W_]*\d[^\W_]*")
 _HYPHENS = re.compile(r"[-‐¬\xad] ?\n")
 _BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
 _SOFT = re.compile(r"[^\W\d_]+(?:\xad[^\W\d_]+)+")
@@ -53,11 +54,19 @@ _END = re.compile(r"[.!?:;,…”\"»)\]}>|*_`]$")
 _BUCKETS = 1 << 18
 
 
+def _dump(m: re.Match) -> str:
+    """Nothing, unless all of it may be words misread: then the lexicon decides. Words over 40 characters have no index."""
+    parts = m[0].strip("-").split("-")
+    return " ".join(parts) if all(len(p) <= 40 and WORD.fullmatch(p) for p in parts) else " "
+
+
 class _Words(dict):
     """Words of what lies between white space, found once for each such string; emptied when it holds many."""
 
     def __missing__(self, part: str) -> tuple[str, ...]:
-        found = () if _PATH.search(part) else tuple(WORD.findall(_DUMP.sub(" ", part)))
+        # Of words joined by a slash or equals sign all count; a path, dump or formula has other things between them.
+        path = _PATH.search(part) and not all(2 < len(p) <= 40 and WORD.fullmatch(p) for p in _PATH.split(part.strip(_SIGNS)))
+        found = () if path else tuple(WORD.findall(_DUMP.sub(_dump, part)))
         if len(self) > 400_000:
             self.clear()
         if len(part) <= 64:

@@ -50,3 +50,10 @@ def test_distance_and_index():
     assert distance("rnodern", "modem") <= 1 and distance("tlie", "the") <= 1 and distance("bef0re", "before") <= 0.5
     assert distance("table", "cable") > 1 and distance("ab", "abc") > 1
     assert deletions("rnachine", ["rn"]) & deletions("machine", ["m"])
+
+
+def test_words_misread_with_several_digits(spark):
+    base = [(100 + i, f"/q{i}", None, "The postmortem and the download or upload were ready.") for i in range(20)]
+    rows = [(1, "/a", None, "LARGE P0STM0RTEM FOR ALL"), (2, "/b", None, "the d0wnl0ad"), (3, "/c", None, "an upload/d0wnl0ad, ready"), (4, "/d", None, "E0382, i18n, c0a1e5d8 and /srv/d0wnl0ad.txt or Zm9v/bWFj0aGlu= stay")]
+    found = {r["chunk_key"]: (r["repaired"], r["kinds"]) for r in repair(frame(spark, [*base, *rows])).where("chunk_key < 100").collect()}
+    assert found == {1: ("LARGE POSTMORTEM FOR ALL", ["misread"]), 2: ("the download", ["misread"]), 3: ("an upload/download, ready", ["misread"]), 4: (rows[3][3], [])}
