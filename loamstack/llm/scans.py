@@ -64,6 +64,11 @@ class _Words(dict):
     """Words of what lies between white space, found once for each such string; emptied when it holds many."""
 
     def __missing__(self, part: str) -> tuple[str, ...]:
+        if len(part) < 24 and part.isalpha():
+            found = self[part] = (part,)
+            if len(self) > 400_000:
+                self.clear()
+            return found
         # Of words joined by a slash or equals sign all count; a path, dump or formula has other things between them.
         path = _PATH.search(part) and not all(2 < len(p) <= 40 and WORD.fullmatch(p) for p in _PATH.split(part.strip(_SIGNS)))
         found = () if path else tuple(WORD.findall(_DUMP.sub(_dump, part)))
@@ -252,18 +257,19 @@ class Repairer:
         drop: set[int] = set()
         short = {i: b for i, b in _candidates(text)} if header_lines else {}
         for i, line in enumerate(lines):
-            size = len(line)
+            bare = line.strip()
+            size = len(bare)
             if not size or size > 90:
                 continue
             if size <= 40 and _PAGE.match(line.rstrip()):
                 kinds.add("page")
                 drop.add(i)
-            elif size <= 40 and _BARE.match(line.strip()):
+            elif size <= 40 and _BARE.match(bare):
                 near = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-                if not any(_BARE.match(n) for n in near) and not (i and near[0].endswith(":")) and len(lines) > 1 and len(line.strip()) <= 3:
+                if not any(_BARE.match(n) for n in near) and not (i and near[0].endswith(":")) and len(lines) > 1 and size <= 3:
                     kinds.add("page")
                     drop.add(i)
-            elif "   " in line and (m := _NUMBERED.match(line.strip())) and _plain(line) and sum(bool(_NUMBERED.match(x.strip())) for x in lines) <= 2:
+            elif "   " in line and (m := _NUMBERED.match(bare)) and _plain(line) and sum(bool(_NUMBERED.match(x.strip())) for x in lines) <= 2:
                 kinds.add("header")
                 drop.add(i)
             elif i in short and short[i] in header_lines:

@@ -57,3 +57,10 @@ def test_words_misread_with_several_digits(spark):
     rows = [(1, "/a", None, "LARGE P0STM0RTEM FOR ALL"), (2, "/b", None, "the d0wnl0ad"), (3, "/c", None, "an upload/d0wnl0ad, ready"), (4, "/d", None, "E0382, i18n, c0a1e5d8 and /srv/d0wnl0ad.txt or Zm9v/bWFj0aGlu= stay")]
     found = {r["chunk_key"]: (r["repaired"], r["kinds"]) for r in repair(frame(spark, [*base, *rows])).where("chunk_key < 100").collect()}
     assert found == {1: ("LARGE POSTMORTEM FOR ALL", ["misread"]), 2: ("the download", ["misread"]), 3: ("an upload/download, ready", ["misread"]), 4: (rows[3][3], [])}
+
+
+@pytest.mark.parametrize("width", [32, 44, 72, 120])
+def test_page_numbers_of_wide_pages(spark, width):
+    rows = [(1, "/a", None, f"{'17':>{width}}\nThe machine learned to return."), (2, "/b", None, f"The machine learned to return.\n{'9':^{2 * width}}")]
+    found = {r["chunk_key"]: (r["repaired"], r["kinds"]) for r in repair(frame(spark, rows)).where("chunk_key < 100").collect()}
+    assert found == {1: ("The machine learned to return.", ["page"]), 2: ("The machine learned to return.", ["page"])}
