@@ -216,9 +216,9 @@ def corpus_model(df: DataFrame, text: str = "text") -> tuple[dict[str, int], dic
 def model_of(found: Counter) -> tuple[Counter, Counter]:
     pairs, words = Counter(), Counter()
     for word, n in found.items():
-        for pair in pairs_of(word[:400]):
+        for pair in pairs_of(word):
             pairs[pair] += n
-        for core in _LETTERS.findall(word[:400].lower()):
+        for core in _LETTERS.findall(word.lower()):
             if not core.isascii():
                 words[_bucket(core)] += n
     return pairs, words

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loamstack.llm.encoding import repair
+from loamstack.llm.encoding import _bucket, model_of, repair
 
 GOOD = [
     "Le résultat a été noté dans la marge, après la réunion déjà prévue.", "Die Kollegen äußerten sich später über die Prüfliste für das Gewächshaus.",
@@ -67,3 +67,8 @@ def test_empty_and_very_long(spark):
     df = spark.createDataFrame([(1, "é" * 200_000 + "x" * 200_000)], "chunk_key long, text string")
     assert not repair(df).first()["garbled"]
     assert repair(df.limit(0)).count() == 0
+
+
+def test_model_counts_whole_words():
+    pairs, words = model_of({"\xa0" * 1_000 + "été": 3})
+    assert pairs["té"] == pairs["é$"] == 3 and pairs["\xa0\xa0"] == 2_997 and words[_bucket("été")] == 3
