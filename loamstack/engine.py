@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamstack.io import local
 from loamstack.operators import search as searching
 from loamstack.operators.embed import Embedder, HashedWords
 from loamstack.operators.indexer import Options, Report, index_directory, index_one
@@ -43,9 +44,8 @@ class Engine:
     def search_many(self, queries: list[str], k: int = 5, min_similarity: float | None = None) -> DataFrame:
         """Hits of all queries in one plan; ``query_id`` is the place of the query in the list."""
         vectors = self.embedder.embed(queries).tolist() if queries else []
-        asked = self.spark.createDataFrame([(i, q, v) for i, (q, v) in enumerate(zip(queries, vectors))], "query_id int, query string, embedding array<double>")
-        s = self.store
-        return searching.hybrid(s.table("chunks"), s.table("vectors"), asked, k, min_similarity, s.table("postings"), s.table("field_len"))
+        asked = local(self.spark, [(i, q, v) for i, (q, v) in enumerate(zip(queries, vectors))], "query_id int, query string, embedding array<double>")
+        return searching.hybrid_store(self.store, asked, k, min_similarity)
 
     def status(self) -> dict:
         row = self.store.stats().first()

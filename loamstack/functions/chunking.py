@@ -83,10 +83,18 @@ def chunk_sections(sections, **options) -> list[tuple[str, int | None]]:
 
 def chunk_rows(df: DataFrame, keys: list[str], text: str = "text", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """``keys``, ``ordinal`` (0-based) and ``text`` of the chunks of each row; rows without chunks give none."""
+    return _exploded(df, keys, text, lambda t: chunk_text(t, target, overlap))
 
+
+def window_rows(df: DataFrame, keys: list[str], text: str = "text", target: int = TARGET) -> DataFrame:
+    """As ``chunk_rows`` for the windows of each text; a null text has none."""
+    return _exploded(df, keys, text, lambda t: list(sentence_windows(t or "", target)))
+
+
+def _exploded(df: DataFrame, keys: list[str], text: str, cut) -> DataFrame:
     def run(batches):
         for batch in batches:
-            found = [chunk_text(t, target, overlap) for t in batch.column(len(keys)).to_pylist()]
+            found = [cut(t) for t in batch.column(len(keys)).to_pylist()]
             at = pa.array([i for i, c in enumerate(found) for _ in c], pa.int64())
             ordinals = pa.array([j for c in found for j in range(len(c))], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), ordinals, pa.array([x for c in found for x in c], pa.string())], names=[*keys, "ordinal", "text"])

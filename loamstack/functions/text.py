@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Words of a query that carry no topic.
 STOPWORDS = (
-    "a about an and are as at be by can do does for from how i in into is it its me my of on or our that "
-    "the their this to was we what when where which who why will with you your"
-).split()
+    "a", "about", "an", "and", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "how", "i", "in", "into", "is", "it", "its", "me", "my",
+    "of", "on", "or", "our", "that", "the", "their", "this", "to", "was", "we", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your",
+)
 # Ligatures of text layers and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 # File names that are their own extension.
@@ -32,7 +32,7 @@ def tokens(text: Column) -> Column:
 
 
 def is_stopword(token: Column) -> Column:
-    return F.lower(token).isin(STOPWORDS)
+    return F.lower(token).isin(*STOPWORDS)
 
 
 def query_terms(query: Column) -> Column:

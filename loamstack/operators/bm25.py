@@ -19,10 +19,11 @@ def analysed(chunks: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
 
 
 def postings(chunks: DataFrame, key: str = "chunk_key", fields: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``field``, ``term``, ``key``, ``tf``. The terms of a row are in one task, so counting them needs no wide shuffle."""
-    base = analysed(chunks, key, fields or {"text": "text"}) if not keep else analysed(chunks.select(F.struct(key, *keep).alias("_row"), *(fields or {"text": "text"}).values()), "_row", fields or {"text": "text"})
-    found = base.select(*([key] if not keep else ["_row"]), "field", F.explode("terms").alias("term")).groupBy("field", "term", *([key] if not keep else ["_row"])).agg(F.count("*").alias("tf"))
-    return found if not keep else found.select("field", "term", "_row.*", "tf")
+    """``field``, ``term``, ``key``, the columns ``keep``, ``tf`` and ``len``, the number of terms of the row's field."""
+    fields = fields or {"text": "text"}
+    base = analysed(chunks.select(F.struct(key, *keep).alias("_row"), *fields.values()), "_row", fields)
+    each = base.select("_row", "field", F.size("terms").cast("bigint").alias("len"), F.explode("terms").alias("term"))
+    return each.groupBy("field", "term", "_row", "len").agg(F.count("*").alias("tf")).select("field", "term", "_row.*", "tf", "len")
 
 
 def field_len(chunks: DataFrame, key: str = "chunk_key", fields: dict[str, str] | None = None) -> DataFrame:
@@ -30,8 +31,15 @@ def field_len(chunks: DataFrame, key: str = "chunk_key", fields: dict[str, str]
     return analysed(chunks, key, fields or {"text": "text"}).select("field", key, F.size("terms").cast("bigint").alias("len"))
 
 
+def field_stats(lengths: DataFrame) -> DataFrame:
+    """``field``, its number of rows ``n`` and their mean length ``avg``."""
+    return lengths.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
+
+
 def doc_freq(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("field", "term").agg(F.count("*").alias("df"))
+    """Rows that hold each term of each field."""
+    # It reads tf so that it needs what scoring needs, and both can read one exchange.
+    return posted.groupBy("field", "term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
 
 
 def asked_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
@@ -39,33 +47,48 @@ def asked_terms(queries: DataFrame, query_id: str = "query_id", query: str = "qu
     return queries.select(F.col(query_id).alias("query_id"), F.explode(query_terms(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def score(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key: str = "chunk_key", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """``query_id``, ``key`` and ``score`` (9 decimals) of all rows that hold a term of the query, summed over terms and fields.
+def score(posted: DataFrame, stats: DataFrame, queries: DataFrame, key: str = "chunk_key", query_id: str = "query_id", query: str = "query", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``query_id``, ``key``, ``keep`` and ``score`` (9 decimals) of all rows that hold a term of the query, summed over terms and fields.
 
-    Only postings of asked terms leave the scan's stage: the join with the queries' terms comes before all else. Statistics
-    are those of all rows. The query side is broadcast by Spark if its size allows and shuffled otherwise.
+    ``posted`` and ``stats`` are as ``postings`` and ``field_stats`` give them, and statistics are those of all rows. Only
+    postings of asked terms leave the scan's stage: the join with the queries' terms comes before all else. The query
+    side is broadcast by Spark if its size allows and shuffled otherwise.
     """
     asked = asked_terms(queries, query_id, query)
-    met = posted.join(asked.select("term").distinct(), "term", "left_semi").join(lengths.select("field", key, "len"), ["field", key])
-    return _weighted(met, lengths, asked, key)
+    return _weighted(posted.join(asked.select("term").distinct(), "term", "left_semi"), stats, asked, (key, *keep))
+
 
+def score_rows(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", fields: dict[str, str] | None = None, query_id: str = "query_id", query: str = "query", keep: tuple[str, ...] = ()) -> DataFrame:
+    """As ``score`` for rows without stored postings, in one pass over the text.
 
-def score_rows(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", fields: dict[str, str] | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """As ``score`` for rows without stored postings: analysed, filtered to the asked terms and counted where they are."""
+    Each row and field gives the asked terms it has and one mark without a term. Marks of equal length are added up where
+    they are; statistics come from them, and all that follows reads the one exchange.
+    """
     asked = asked_terms(queries, query_id, query)
-    base = analysed(chunks, key, fields or {"text": "text"}).select(key, "field", F.size("terms").cast("bigint").alias("len"), "terms")
-    hits = base.select(key, "field", "len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    return _weighted(hits.groupBy("field", "term", key, "len").agg(F.count("*").alias("tf")), base, asked, key)
+    fields = fields or {"text": "text"}
+    base = analysed(chunks.select(F.struct(key, *keep).alias("_row"), *fields.values()), "_row", fields).select("_row", "field", F.size("terms").cast("bigint").alias("len"), "terms")
+    each = base.select("_row", "field", "len", F.explode(F.array_append("terms", F.lit(None).cast("string"))).alias("term"))
+    wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    kept = each.join(wanted, "term", "left").where("term is null or _asked").select("field", "term", F.when(F.col("term").isNotNull(), F.col("_row")).alias("_row"), "len")
+    met = kept.groupBy("field", "term", "_row", "len").agg(F.count("*").alias("tf"))
+    marks = met.where("term is null")
+    stats = marks.groupBy("field").agg(F.sum("tf").cast("double").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg"))
+    hits = met.where("term is not null").select("field", "term", "_row.*", "len", "tf")
+    return _weighted(hits, stats, asked, (key, *keep))
+
+
+def _weighted(met: DataFrame, stats: DataFrame, asked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return weigh(met, doc_freq(met), stats, asked, keys)
 
 
-def _weighted(met: DataFrame, lengths: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    stats = lengths.groupBy("field").agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"))
+def weigh(met: DataFrame, freq: DataFrame, stats: DataFrame, asked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Scores from postings of asked terms, the number of rows that hold each (``freq``), ``stats`` and ``asked`` terms."""
     tf = F.col("tf").cast("double")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    # As many statistics as there are fields.
-    parts = met.join(doc_freq(met), ["field", "term"]).join(F.broadcast(stats), "field").join(asked, "term")
-    return parts.groupBy("query_id", key).agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
+    # A row for each asked term and field, and as many statistics as there are fields.
+    known = freq.join(F.broadcast(stats), "field").join(asked, "term")
+    return met.join(known, ["field", "term"]).groupBy("query_id", *keys).agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:

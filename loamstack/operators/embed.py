@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +91,11 @@ class OnnxModel:
         return normalise(masked_mean(hidden, mask))
 
 
-def embed_rows(df: DataFrame, embedder: Embedder, keys: list[str], text: str = "text", batch: int = BATCH) -> DataFrame:
-    """``keys`` and ``embedding`` of each row, in batches of ``batch`` texts; the model is loaded once a worker."""
+def embed_rows(df: DataFrame, embedder: Embedder, keys: list[str], text: str = "text", batch: int = BATCH, done=None) -> DataFrame:
+    """``keys`` and ``embedding`` of each row, in batches of ``batch`` texts; the model is loaded once a worker.
+
+    ``done``: an accumulator that is told of the rows of each batch; it counts those of repeated tasks again.
+    """
 
     def run(batches):
         for rows in batches:
@@ -102,6 +103,8 @@ def embed_rows(df: DataFrame, embedder: Embedder, keys: list[str], text: str = "
             parts = [embedder.embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             flat = np.concatenate(parts).astype(np.float32).ravel() if parts else np.empty(0, np.float32)
             offsets = pa.array(np.arange(len(texts) + 1) * embedder.dims, pa.int32())
+            if done is not None:
+                done.add(len(texts))
             yield pa.RecordBatch.from_arrays([*rows.columns[: len(keys)], pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*keys, "embedding"])
 
     names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -116,14 +119,3 @@ def hashed_parts(df: DataFrame, key: str, text: str = "text", dims: int = DIMS)
     counts = df.select(key, F.explode(tokens(F.col(text))).alias("term")).select(key, at.alias("bucket"), sign.alias("sign")).groupBy(key, "bucket").agg(F.sum("sign").alias("n")).where("n <> 0")
     length = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("length"))
     return counts.join(length, key).select(key, "bucket", F.round(F.col("n") / F.col("length"), 9).alias("weight"))
-
-
-def pandas_embedder(embedder: Embedder):
-    """The embedder as a pandas UDF over an iterator of batches."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(embedder.embed([t or "" for t in texts]).astype(np.float32)))
-
-    return embed

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -28,16 +29,63 @@ class Options:
     strict_stat: bool = False
 
 
+#: Paths a report names; it counts all.
+NAMED = 10_000
+
+
 @dataclass
 class Report:
+    """What a pass did. ``indexed`` and ``failed`` name the first ``NAMED`` paths, the numbers count all."""
+
     indexed: list[str] = field(default_factory=list)
     skipped_unchanged: int = 0
     removed_missing: int = 0
     failed: list[str] = field(default_factory=list)
+    n_indexed: int = 0
+    n_failed: int = 0
 
     def __str__(self) -> str:
-        tail = f", failed {len(self.failed)}" if self.failed else ""
-        return f"indexed {len(self.indexed)}, unchanged {self.skipped_unchanged}, pruned {self.removed_missing}{tail}"
+        tail = f", failed {self.n_failed}" if self.n_failed else ""
+        return f"indexed {self.n_indexed}, unchanged {self.skipped_unchanged}, pruned {self.removed_missing}{tail}"
+
+    def summary(self) -> str:
+        """The report as a sentence or two for its reader; a pass over a tree without any file says so."""
+        if not self.n_indexed and not self.skipped_unchanged and not self.n_failed:
+            return f"{self}\nNothing to index: no file under this folder has a known extension and a size under the limit."
+        return "\n".join([str(self), *(f"failed: {path}" for path in self.failed)])
+
+
+class Progress:
+    """Tells, while chunks are embedded, of each window of ``BATCH`` chunks that is done. ``tell`` gets ``done`` and ``total``."""
+
+    def __init__(self, context, tell: Callable[[str, dict], None], total: int):
+        self.tell, self.total, self.told = tell, total, 0
+        self.done = context.accumulator(0)
+        self._over = threading.Event()
+
+    def _advance(self, upto: int) -> None:
+        upto = min(upto, self.total)
+        for n in range(self.told + BATCH, upto + 1, BATCH):
+            self.told = n
+            self.tell("embedding", {"done": n, "total": self.total, "batch": BATCH})
+
+    def _watch(self) -> None:
+        while not self._over.wait(0.2):
+            self._advance(self.done.value)
+
+    def __enter__(self) -> Progress:
+        self.tell("embedding", {"done": 0, "total": self.total, "batch": BATCH})
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self._over.set()
+        self._thread.join()
+        if kind is None:
+            self._advance(self.total)
+            if self.told < self.total:
+                self.tell("embedding", {"done": self.total, "total": self.total, "batch": BATCH})
 
 
 def change_set(scan: DataFrame, known: DataFrame, options: Options = Options()) -> DataFrame:
@@ -54,32 +102,45 @@ def change_set(scan: DataFrame, known: DataFrame, options: Options = Options())
 
 def missing(known: DataFrame, scan: DataFrame, root: str) -> DataFrame:
     """Stored paths under ``root`` that the walk did not see."""
-    return known.where(under_root(F.col("path"), root)).select("path").join(scan.select("path"), "path", "left_anti")
+    inside = F.col("path").startswith(root.rstrip("/") + "/") if "://" in root else under_root(F.col("path"), root)
+    return known.where(inside).select("path").join(scan.select("path"), "path", "left_anti")
 
 
 def index_directory(
     store: Store, root: str, extensions: Iterable[str] = (), options: Options = Options(), extractors: Iterable[corpus.Extractor] = (),
-    embedder: Embedder | None = None, progress: Callable[[str, dict], None] | None = None,
+    embedder: Embedder | None = None, progress: Callable[[str, dict], None] | None = None, each: Callable[[str, int, int], None] | None = None,
 ) -> Report:
-    """One pass over the tree. A walk error raises before anything is written; a file's own failure leaves its older version
+    """One pass over the tree. ``root`` is a local folder or the URI of one on any Hadoop file system (no extractors there).
+    ``progress`` is told of the steps and of each window of chunks embedded, ``each`` of every file found: its path, place
+    and the total. A walk error raises before anything is written; a file's own failure leaves its older version
     in the index and is tried again at the next pass. All changed documents are published together, then what is gone from
     the tree and from the disk is pruned, under the root only."""
     tell = progress or (lambda *_: None)
-    root = corpus.absolute_path(root)
-    if not os.path.isdir(root):
-        raise NotADirectoryError(root)
     extractors = list(extractors)
-    scan = corpus.files(store.spark, root, extensions, extractors)
     if not store.schema_matches():
         raise RuntimeError("the store has another schema version; rebuild it in a new folder")
+    if remote := "://" in root:
+        scan = cut_lineage(corpus.listed(store.spark, root, extensions))
+    else:
+        root = corpus.absolute_path(root)
+        if not os.path.isdir(root):
+            raise NotADirectoryError(root)
+        scan = corpus.files(store.spark, root, extensions, extractors)
     total = scan.count()
     tell("discovered", {"total": total})
+    if each is not None:
+        for i, row in enumerate(scan.select("path").toLocalIterator()):
+            each(row["path"], i + 1, total)
     known = store.docs()
     changes = change_set(scan, known, options)
     report = _apply(store, changes, options, extractors, embedder, tell, total)
     if not options.no_prune:
-        # Only paths that the walk did not see are looked up on disk, by the tasks that hold them.
-        gone = cut_lineage(missing(known, scan, root).mapInPandas(lambda frames: (f[[not os.path.lexists(p) for p in f["path"]]] for f in frames), "path string"))
+        gone = missing(known, scan, root)
+        # Only paths that the walk did not see are looked up on disk, by the tasks that hold them. A remote listing is
+        # the whole truth of its extensions.
+        if not remote:
+            gone = gone.mapInPandas(lambda frames: (f[[not os.path.lexists(p) for p in f["path"]]] for f in frames), "path string")
+        gone = cut_lineage(gone)
         report.removed_missing = store.delete(gone)
     tell("finished", {"report": report})
     return report
@@ -88,11 +149,14 @@ def index_directory(
 def _apply(store, changes, options, extractors, embedder, tell, total) -> Report:
     report = Report(skipped_unchanged=changes.where("action = 'unchanged'").count())
     todo = changes.where("action = 'read'")
-    sections = cut_lineage(corpus.read_sections(todo, extractors).join(todo.select("path", "size", "mtime_secs", "_hash", "n_chunks"), "path"))
+    read = corpus.read_listed(todo) if "uri" in todo.columns else corpus.read_sections(todo, extractors)
+    sections = cut_lineage(read.join(todo.select("path", "size", "mtime_secs", "_hash", "n_chunks"), "path"))
     # A touched file with the same content keeps its chunks.
     same = (F.col("_hash") == F.col("content_hash")) & ~F.lit(options.force) & ~F.lit(options.strict_stat) & ~(F.lit(options.retry_empty) & (F.col("n_chunks") == 0))
     marked = sections.withColumn("same", F.coalesce(same, F.lit(False)) & (F.col("status") != "error"))
-    report.failed = [r[0] for r in marked.where("status = 'error'").select("path").orderBy("path").collect()]
+    counts = dict(marked.groupBy("status").count().collect())
+    report.n_failed = counts.get("error", 0)
+    report.failed = _named(marked.where("status = 'error'")) if report.n_failed else []
     touched = marked.where("same")
     n = touched.count()
     if n:
@@ -101,17 +165,20 @@ def _apply(store, changes, options, extractors, embedder, tell, total) -> Report
     new = marked.where("not same and status <> 'error'")
     tell("scanned", {"done": total, "total": total})
     docs = new.select("path", "content_hash", "mtime_secs", "size")
-    names = [r[0] for r in new.where("status = 'ok'").select("path").orderBy("path").collect()]
-    if names or not new.isEmpty():
+    fresh = dict(new.groupBy("status").count().collect())
+    report.n_indexed = fresh.get("ok", 0)
+    report.indexed = _named(new.where("status = 'ok'")) if report.n_indexed else []
+    if fresh:
         chunks = cut_lineage(chunk_section_rows(new, ["path"]))
-        n = chunks.count()
-        tell("embedding", {"done": 0, "total": n, "batch": BATCH})
-        store.upsert(docs, chunks, embedder or HashedWords())
-        tell("embedding", {"done": n, "total": n, "batch": BATCH})
-    report.indexed = names
+        with Progress(store.spark.sparkContext, tell, chunks.count()) as progress:
+            store.upsert(docs, chunks, embedder or HashedWords(), done=progress.done)
     return report
 
 
+def _named(files: DataFrame) -> list[str]:
+    return [r[0] for r in files.select("path").orderBy("path").limit(NAMED).collect()]
+
+
 def index_one(store: Store, path: str, extractors: Iterable[corpus.Extractor] = (), embedder: Embedder | None = None) -> int:
     """Index one file whatever its extension, size or state; the number of its chunks, of which there must be one."""
     path = corpus.absolute_path(path)

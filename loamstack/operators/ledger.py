@@ -1,117 +1,180 @@
 """Processing only new or changed records: a ledger of work items (problem 4).
 
-A work item is one content of one path; its id is a digest of both, so that a repeated or overlapping run names the same
-work by the same id and its output by the same path. Items are pending, leased or done. Every change of the ledger is a
-new snapshot, published by creating ``commit-N`` exclusively: of two writers that start from the same snapshot one fails
-and must look again. A lease carries a fencing token, the number of the commit that gave it; a worker whose lease expired
-and was given away holds an old token, and its completion is rejected.
+A work item is one content of one path at one turn: whenever a path's content differs from its last item's, the next turn
+begins, so a content that comes back is work again. Its id is a digest of the three, so that a repeated or overlapping run
+names the same work by the same id and its output by the same path. Items are pending, leased or done. A commit writes the
+rows it changes and publishes a head that lists the files of the ledger; an item is its row of the latest commit. Of two
+writers that start from the same head one fails, looks again and tries anew. A lease carries a fencing token, the number
+of the commit that gave it; a worker whose lease expired and was given away holds an old token, and its completion is
+rejected.
 """
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamstack.session import shared_dir
+from loamstack.io import local
+from loamstack.publish import Heads, Overtaken, StaleWriter
+from loamstack.session import scratch, ship
 
-SCHEMA = "work_id string, path string, hash string, state string, owner string, token bigint, lease_until double, output string"
-
-
-class StaleWriter(RuntimeError):
-    """Another writer has published the next snapshot, or a token is no longer the one of the lease."""
+SCHEMA = "work_id string, path string, hash string, turn bigint, state string, owner string, token bigint, lease_until double, output string, seq bigint"
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+__all__ = ["Ledger", "Overtaken", "StaleWriter", "catch_up", "changed_files", "hash_value"]
 
 
 class Ledger:
-    """A ledger in ``folder``, which all executors must share."""
+    """A ledger in ``folder``, which all executors must share.
+
+    ``fold``: files beyond which a commit writes the whole ledger anew, without what no later run needs. ``retain``:
+    seconds for which files that no head lists any more are kept for their readers. ``attempts``: how often a commit that
+    was overtaken is tried.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(folder))
+    def __init__(self, spark: SparkSession, folder: str, fold: int = 16, retain: float = 86_400.0, attempts: int = 8):
+        ship(spark)
+        self.spark, self.folder, self.fold, self.retain, self.attempts = spark, folder, fold, retain, attempts
+        self.heads = Heads(spark, folder, "commit")
 
     def version(self) -> int:
         """Number of the last commit; 0 before the first."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return max([0, *(int(n[7:]) for n in names if n.startswith("commit-"))])
+        return max([0, *self.heads.numbers()])
+
+    def _head(self, version: int | None = None) -> tuple[int, dict]:
+        number, found = (version, self.heads.read(version)) if version is not None else self.heads.newest()
+        return max(0, number), found or {"files": [], "leases": {}}
 
     def items(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version == 0:
-            return self.spark.createDataFrame([], SCHEMA)
-        commit = self._path(f"{self.folder}/commit-{version}")
-        stream = self._fs.open(commit)
-        try:
-            name = stream.readUTF()
-        finally:
-            stream.close()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{name}")
-
-    def _publish(self, items: DataFrame, version: int) -> int:
-        """Write a snapshot under a name of its own, then claim the next number; a failed writer leaves no trace in it."""
-        name = f"items-{uuid.uuid4().hex}"
-        items.write.parquet(f"{self.folder}/{name}")
+        """The ledger as of a commit, by default the last: one row an item."""
+        return self._rows(self._head(version)[1]["files"]).where("state <> 'dropped'")
+
+    def _rows(self, files: list[str]) -> DataFrame:
+        if not files:
+            return local(self.spark, [], SCHEMA)
+        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.folder}/{f}" for f in files))
+        if len(files) == 1:
+            return rows
+        last = rows.groupBy("work_id").agg(F.max_by(F.struct(*_COLUMNS[1:]), "seq").alias("x"))
+        return last.select("work_id", *(f"x.{c}" for c in _COLUMNS[1:]))
+
+    def _publish(self, rows: DataFrame, version: int, lease: bool = False, head: dict | None = None) -> int:
+        """Write changed rows under a name of their own, then claim the next number; a failed writer leaves no trace."""
+        head = head or self._head()[1]
+        number, name = version + 1, f"items-{uuid.uuid4().hex}"
+        made = [name]
+        rows.withColumn("seq", F.lit(number).cast("bigint")).select(*_COLUMNS).write.parquet(f"{self.folder}/{name}")
         try:
-            out = self._fs.create(self._path(f"{self.folder}/commit-{version + 1}"), False)
-        except Exception as error:
-            self._fs.delete(self._path(f"{self.folder}/{name}"), True)
-            raise StaleWriter(f"commit {version + 1} was made by another writer") from error
-        out.writeUTF(name)
-        out.close()
-        return version + 1
+            files, leases = [*head["files"], name], dict(head["leases"])
+            if lease:
+                # The newest leases only: a token that is not known any more is rejected like an outdated one.
+                leases = dict([*leases.items(), (str(number), self._rows([name]).where("state = 'leased'").count())][-1000:])
+            if len(files) > self.fold:
+                last = F.max("turn").over(Window.partitionBy("path"))
+                kept = self._rows(files).where("state <> 'dropped'").withColumn("_last", last).where("state <> 'done' or turn = _last")
+                name = f"items-{uuid.uuid4().hex}"
+                made.append(name)
+                kept.select(*_COLUMNS).write.parquet(f"{self.folder}/{name}")
+                files = [name]
+            self.heads.publish(number, {"files": files, "leases": leases})
+        except Exception:
+            for own in made:
+                self.heads.remove(own)
+            raise
+        if len(files) == 1:
+            self.vacuum()
+        return number
+
+    def vacuum(self) -> None:
+        """Remove heads and files that no recent head lists and that are older than ``retain`` seconds."""
+        ages = self.heads.ages()
+        old = time.time() - self.retain
+        numbers = self.heads.numbers()
+        kept = [n for n in numbers if n == numbers[-1] or ages.get(f"commit-{n}.json", time.time()) >= old]
+        used = {f for n in kept for f in (self.heads.read(n) or {"files": []})["files"]} | set(self._head()[1]["files"])
+        for name, age in ages.items():
+            if age < old and (name.startswith("items-") and name not in used or name.startswith("commit-") and int(name[7:-5]) < kept[0]):
+                self.heads.remove(name)
+
+    def _retried(self, attempt: Callable[[], object]):
+        for left in reversed(range(self.attempts)):
+            try:
+                return attempt()
+            except Overtaken:
+                if not left:
+                    raise
+                time.sleep(random.random() * 0.2)  # noqa: S311
 
     def enqueue(self, changes: DataFrame) -> int:
-        """Add (path, hash) rows as pending items; those the ledger knows in any state stay as they are.
+        """Add (path, hash) rows as pending items, unless the path's last item has that content, in whatever state it is.
 
-        An older content of the same path that nobody has begun is dropped: only the newest has to be processed.
-        Rows with a null path are no work. Returns the new version.
+        An older content of the same path that nobody has begun is dropped: only the newest has to be processed. Of
+        several contents of a path the greatest hash counts. Rows with a null path are no work. Returns the new version.
         """
-        version = self.version()
-        known = self.items(version)
-        work = F.sha2(F.concat_ws("\0", "path", F.coalesce("hash", F.lit(""))), 256)
-        new = (
-            changes.where("path is not null").select("path", "hash").distinct().withColumn("work_id", work)
-            .join(known.select("work_id"), "work_id", "left_anti")
-            .select("work_id", "path", "hash", F.lit("pending").alias("state"), F.lit(None).cast("string").alias("owner"), F.lit(0).cast("bigint").alias("token"), F.lit(0.0).alias("lease_until"), F.concat(F.lit("out/"), "work_id").alias("output"))
-        )
-        superseded = known.where("state = 'pending'").join(new.select("path"), "path", "left_semi").select("work_id")
-        return self._publish(known.join(superseded, "work_id", "left_anti").unionByName(new), version)
+        given = changes.where("path is not null").groupBy("path").agg(F.max("hash").alias("hash"))
+
+        def attempt() -> int:
+            version, head = self._head()
+            known = self._rows(head["files"]).where("state <> 'dropped'")
+            last = known.groupBy("path").agg(F.max_by(F.struct(*(c for c in _COLUMNS if c != "path")), "turn").alias("last"))
+            met = given.join(last, "path", "left").where(F.col("last").isNull() | ~F.col("last.hash").eqNullSafe(F.col("hash")))
+            turn = F.coalesce(F.col("last.turn"), F.lit(0)) + 1
+            work = F.sha2(F.concat_ws("\0", "path", F.coalesce("hash", F.lit("")), turn.cast("string")), 256)
+            new = F.struct(
+                work.alias("work_id"), "path", "hash", turn.alias("turn"), F.lit("pending").alias("state"), F.lit(None).cast("string").alias("owner"),
+                F.lit(0).cast("bigint").alias("token"), F.lit(0.0).alias("lease_until"), F.concat(F.lit("out/"), work).alias("output"), F.lit(0).cast("bigint").alias("seq"),
+            )
+            dropped = F.struct(*(F.lit("dropped").alias(c) if c == "state" else F.col("path") if c == "path" else F.col(f"last.{c}").alias(c) for c in _COLUMNS))
+            both = F.when(F.col("last.state") == "pending", F.array(new, dropped)).otherwise(F.array(new))
+            return self._publish(met.select(F.inline(both)), version, head=head)
+
+        return self._retried(attempt)
 
     def lease(self, owner: str, seconds: float, now: float | None = None, shard: Column | None = None) -> tuple[int, DataFrame]:
-        """Take all pending items and those whose lease has expired (of ``shard``, if given). Gives the token and the items."""
+        """Take all pending items and those whose lease has expired (of ``shard``, if given). Gives the token and the items.
+
+        Of a path only the newest item is taken, and only once no older one is under a lease that holds; an older one
+        whose lease has expired is dropped.
+        """
         now = time.time() if now is None else now
-        version = self.version()
-        token = version + 1
-        free = (F.col("state") == "pending") | ((F.col("state") == "leased") & (F.col("lease_until") <= now))
-        if shard is not None:
-            free &= shard
-        taken = {"owner": F.lit(owner), "token": F.lit(token).cast("bigint"), "lease_until": F.lit(now + seconds)}
-        items = self.items(version).withColumn("_free", free)
-        for name, value in taken.items():
-            items = items.withColumn(name, F.when(F.col("_free"), value).otherwise(F.col(name)))
-        items = items.withColumn("state", F.when(F.col("_free"), "leased").otherwise(F.col("state"))).drop("_free")
-        self._publish(items, version)
+
+        def attempt() -> int:
+            version, head = self._head()
+            path = Window.partitionBy("path")
+            holds = (F.col("state") == "leased") & (F.col("lease_until") > now)
+            open_ = self._rows(head["files"]).where("state in ('pending', 'leased')")
+            seen = open_.withColumn("_last", F.max("turn").over(path)).withColumn("_held", F.max(holds).over(path))
+            free = seen.where(~holds) if shard is None else seen.where(~holds & shard)
+            newest = F.col("turn") == F.col("_last")
+            taken = free.where(~newest | ~F.col("_held"))
+            for name, value in {"owner": F.lit(owner), "token": F.lit(version + 1).cast("bigint"), "lease_until": F.lit(float(now + seconds)), "state": F.lit("leased")}.items():
+                taken = taken.withColumn(name, F.when(newest, value).otherwise(F.lit("dropped") if name == "state" else F.col(name)))
+            return self._publish(taken, version, lease=True, head=head)
+
+        token = self._retried(attempt)
         return token, self.items(token).where((F.col("state") == "leased") & (F.col("token") == token))
 
     def complete(self, token: int, done: DataFrame | None = None) -> int:
-        """Mark the items of a lease (or those of ``done``, by work_id) as done. An outdated token raises StaleWriter."""
-        version = self.version()
-        items = self.items(version)
-        own = (F.col("token") == token) & (F.col("state") == "leased")
-        if done is None:
-            finished = items.where(own).select("work_id")
-        else:
-            finished = done.select("work_id").distinct()
-            late = finished.join(items.where((F.col("token") == token) & F.col("state").isin("leased", "done")), "work_id", "left_anti")
-            if not late.isEmpty():
-                raise StaleWriter(f"the lease {token} no longer holds all these items")
-            finished = finished.join(items.where(own).select("work_id"), "work_id", "left_semi")
-        marked = items.join(finished.withColumn("_done", F.lit(True)), "work_id", "left")
-        return self._publish(marked.withColumn("state", F.when(F.col("_done"), "done").otherwise(F.col("state"))).drop("_done"), version)
+        """Mark the items of a lease (or those of ``done``, by work_id) as done. An outdated token raises StaleWriter, also
+        if only some of its items were given to another. Repeating a completion changes nothing."""
+        named = done.select("work_id").distinct() if done is not None else None
+
+        def attempt() -> int:
+            version, head = self._head()
+            own = self._rows(head["files"]).where((F.col("token") == token) & F.col("state").isin("leased", "done"))
+            if named is None:
+                lost = head["leases"].get(str(token), -1) != own.count()
+            else:
+                own, lost = own.join(named, "work_id", "left_semi"), not named.join(own, "work_id", "left_anti").isEmpty()
+            if lost:
+                raise StaleWriter(f"the lease {token} does not hold all these items any more")
+            return self._publish(own.where("state = 'leased'").withColumn("state", F.lit("done")), version, head=head)
+
+        return self._retried(attempt)
 
 
 def hash_value(column: str) -> Column:
@@ -137,14 +200,26 @@ def changed_files(scans: DataFrame, docs: DataFrame) -> DataFrame:
     return newest.join(stored, "path", "left").where(~F.col("hash").eqNullSafe(F.col("stored"))).select("path", "hash")
 
 
-def catch_up(spark: SparkSession, scans: DataFrame, docs: DataFrame, folder: str | None = None, owner: str = "catch-up") -> DataFrame:
+def catch_up(
+    spark: SparkSession, scans: DataFrame, docs: DataFrame, folder: str | None = None, owner: str = "catch-up",
+    work: Callable[[DataFrame, int], DataFrame | None] | None = None, seconds: float = 3600, now: float | None = None,
+) -> DataFrame:
     """One catch-up run over a ledger (a new one in the shared folder by default): the items it processed.
 
-    The work itself is the caller's; an item counts as processed when its lease is completed. Items that an earlier run
-    completed are not taken again, items it only leased are, once the lease has expired.
+    ``work`` is called with the leased items and the token, and must have done all its work when it returns; only then is
+    the lease completed. If it fails, nothing is completed, and the items are taken again once the lease has expired. It
+    may give rows of its own to be returned instead of the items. By default the items are written to a list named by
+    the token. Items that an earlier run completed are not taken again.
     """
-    ledger = Ledger(spark, folder or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger = Ledger(spark, folder or scratch(spark, "ledger"))
     ledger.enqueue(changed_files(scans, docs))
-    token, _ = ledger.lease(owner, seconds=3600)
-    done = ledger.complete(token)
-    return ledger.items(done).where((F.col("token") == token) & (F.col("state") == "done"))
+    token, items = ledger.lease(owner, seconds, now)
+
+    def listed(items: DataFrame, token: int) -> DataFrame:
+        target = f"{ledger.folder}/out/lease-{token}"
+        items.write.mode("overwrite").parquet(target)
+        return spark.read.schema(SCHEMA).parquet(target)
+
+    done = (work or listed)(items, token)
+    version = ledger.complete(token)
+    return done if done is not None else ledger.items(version).where((F.col("token") == token) & (F.col("state") == "done"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstack.functions.text import stats_ext
+from loamstack.session import cut_lineage
 
 
 def totals(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -20,17 +21,19 @@ def by_extension(docs: DataFrame) -> DataFrame:
     return docs.groupBy(stats_ext(F.col("path")).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "ext")
 
 
-def place_percentile(values: Column, n: Column, p: float) -> Column:
-    """The value at place floor(n x p) of an ascending array, the last at most."""
-    return F.element_at(values, F.least(F.floor(n * p) + 1, n).cast("int"))
-
-
 def latency(df: DataFrame, by: str, value: str, p: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Number, mean and percentiles by place of each group, without gathering a group: ranks come from a running count of
-    equal values, of which there are as many as the measure's resolution allows."""
+    """Number, mean and percentiles by place of each group; null values take no part, a null group is one.
+
+    Equal values are added up, then laid out in ranges of (group, value), so that a large group lies over many tasks. Each
+    task counts on from what lies before its range; of that there is a row for each group and task.
+    """
     rows = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(by)
-    ranked = rows.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(whole))
+    rows = cut_lineage(rows.repartitionByRange(by, value).withColumn("_p", F.spark_partition_id()))
+    sizes = rows.groupBy(by, "_p").agg(F.sum("c").alias("size"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("size").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = sizes.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), before.alias("before"), F.sum("size").over(group).alias("n"))
+    upto = Window.partitionBy(by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("upto", F.sum("c").over(upto)).join(known, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q"))).withColumn("upto", F.col("upto") + F.col("before"))
     at = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * x), F.col("n") - 1), F.col(value))).alias(f"p{int(x * 100)}") for x in p]
     return ranked.groupBy(by).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean"), *at)

@@ -102,6 +102,15 @@ chunked AS (
 """
 
 
+# Rows of the store after the changes of store_upsert: keys go by path and ordinal, and on from the last for what came again.
+_UPDATED = f"""
+{_CHUNKS}, given AS (SELECT DISTINCT path, ordinal, text, page FROM piece WHERE path IS NOT NULL),
+first AS (SELECT row_number() OVER (ORDER BY path, ordinal) - 1 AS chunk_key, * FROM given),
+again AS (SELECT DISTINCT path FROM given WHERE page = 1),
+second AS (SELECT (SELECT count(*) FROM given) + row_number() OVER (ORDER BY path, ordinal) - 1 AS chunk_key, * FROM given WHERE page IS NOT NULL AND path IN (SELECT path FROM again)),
+rows AS (SELECT * FROM first WHERE NOT starts_with(path, '{ROOT}/') AND path NOT IN (SELECT path FROM again) UNION ALL SELECT * FROM second)
+"""
+
 SQL: dict[str, str] = {
     "chunk_documents": f"""
 WITH RECURSIVE {_chunked('SELECT doc_id AS id, text FROM documents')}
@@ -126,20 +135,8 @@ SELECT doc_id, ordinal, piece AS text FROM kept WHERE length(piece) >= 8
 """,
     "chunk_paragraphs": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS ordinal, unnest(p) AS paragraph FROM (SELECT doc_id, {_PARTS} AS p FROM documents)",
     "chunk_pack_overlap": f"""
-WITH RECURSIVE base AS (SELECT doc_id, list_filter({_PARTS}, lambda p: length(p) <= 1000) AS p FROM documents WHERE text IS NOT NULL),
-pack AS (
-  SELECT doc_id, p, 1 AS i, '' AS held, NULL::VARCHAR AS piece FROM base
-  UNION ALL
-  SELECT doc_id, p, i + 1, CASE WHEN i > len(p) THEN '' WHEN over THEN CASE WHEN tail = '' THEN '' ELSE tail || ' ' END || p[i] || chr(10) ELSE held || p[i] || chr(10) END,
-    CASE WHEN over OR i > len(p) THEN trim(held, {_WHITE}) END
-  FROM (
-    SELECT *, i <= len(p) AND held <> '' AND length(held) + length(p[i]) + 1 > 1000 AS over,
-      CASE WHEN length(trim(held, {_WHITE})) <= 120 THEN trim(held, {_WHITE})
-        WHEN regexp_matches(right(trim(held, {_WHITE}), 120), '{_BLANK}') THEN regexp_extract(right(trim(held, {_WHITE}), 120), '(?s)^.*?{_BLANK}+(.*)$', 1)
-        ELSE right(trim(held, {_WHITE}), 120) END AS tail
-    FROM pack WHERE i <= len(p) + 1)),
-kept AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal, piece AS text FROM pack WHERE piece IS NOT NULL AND length(piece) >= 8)
-SELECT * FROM kept
+WITH RECURSIVE {_chunked('SELECT chunk_key AS id, text FROM (SELECT DISTINCT chunk_key, path, ordinal, text, page FROM chunks WHERE chunk_key IS NOT NULL)')}
+SELECT id AS chunk_key, row_number() OVER (PARTITION BY id ORDER BY i, kind, step) - 1 AS ordinal, piece AS text FROM chunked
 """,
     "tokenize": f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "query_terms": f"WITH {_ASKED} SELECT query_id, array_to_string(list_filter({_terms('query')}, lambda t: t NOT IN ({_STOP})), ' ') AS terms FROM asked",
@@ -169,8 +166,11 @@ hashed AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 384)::INT
 counts AS (SELECT doc_id, bucket, sum(sign) AS n FROM hashed GROUP BY ALL HAVING sum(sign) <> 0)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)::DOUBLE), 9) AS weight FROM counts
 """,
-    "rrf_fuse": _fused(_TEXT) + "SELECT query_id, path, ordinal, score, rank FROM ranked",
+    "rrf_fuse": _fused(_BOTH) + "SELECT query_id, path, ordinal, score, rank FROM ranked",
     "hybrid_search": _fused(_BOTH) + "SELECT * FROM hits",
+    "hybrid_tables": _fused(_BOTH) + "SELECT * FROM hits",
+    "bm25_stored": f"WITH {_ASKED}, {_CHUNKS}, {_TEXT}, {_BM25} {_BEST}",
+    "index_build": f"WITH {_CHUNKS} SELECT count(DISTINCT path) AS documents, count(*) AS chunks, sum(coalesce(strlen(text), 0)) AS bytes FROM piece WHERE path IS NOT NULL",
     "render_hits": _fused(_BOTH) + "SELECT query_id, rank, '[' || rank || '] ' || path || '#chunk' || chunk_index || ' (score ' || printf('%.2f', score) || ')' || chr(10) || text AS rendered FROM hits",
     "chunk_by_ordinal": f"WITH {_CHUNKS} SELECT path, text, page FROM piece WHERE path = '/srv/corpus/ledger/rolling-changelog.md' AND ordinal = 3",
     "stats_totals": "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT chunk_key) FROM chunks) AS chunks, (SELECT coalesce(sum(size), 0)::BIGINT FROM docs) AS total_source_bytes",
@@ -189,6 +189,13 @@ FROM scan s LEFT JOIN docs d ON s.path = d.path
 WITH {_CHUNKS}, one AS (SELECT path, count(*) AS n, count(page) AS paged, max(CASE WHEN page = 1 THEN 1 ELSE 0 END) AS again FROM (SELECT DISTINCT path, ordinal, page FROM piece) WHERE path IS NOT NULL GROUP BY path)
 SELECT path, CASE WHEN again = 1 THEN 'second' ELSE 'first' END AS content_hash, CASE WHEN again = 1 THEN paged ELSE n END AS n_chunks
 FROM one WHERE again = 1 OR NOT starts_with(path, '{ROOT}/')
+""",
+    "store_chunks": f"WITH {_UPDATED} SELECT chunk_key, path, ordinal, text, page FROM rows",
+    "store_postings": f"""
+WITH {_UPDATED}, words AS (
+  SELECT chunk_key, 'text' AS field, coalesce({_terms('text')}, []) AS t FROM rows UNION ALL SELECT chunk_key, 'path', coalesce({_terms('path')}, []) FROM rows),
+post AS (SELECT chunk_key, field, term, any_value(n) AS len, count(*) AS tf FROM (SELECT chunk_key, field, len(t) AS n, unnest(t) AS term FROM words) GROUP BY ALL)
+SELECT field, term, count(*) AS df, sum(tf) AS tf, sum(len) AS len, min(chunk_key) AS first_key FROM post GROUP BY field, term
 """,
     "p4_found": f"""
 WITH newest AS (

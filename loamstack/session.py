@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -57,11 +59,26 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + os.path.join(tempfile.gettempdir(), f"loamstack-{os.getpid()}")
+        _remove_at_exit(spark, configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a query needs while it runs; removed when the application ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remove_at_exit(spark, folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder, so that a lost executor costs no recomputation of what led to them."""
     shared_dir(df.sparkSession)

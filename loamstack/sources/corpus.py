@@ -1,25 +1,31 @@
 """Directory trees as a source: which files there are, and their text.
 
-The walk lists files on the driver, as a file system's listing is sequential; what is read of them is read by tasks.
+A local tree is walked by the driver, as links, cycles and unreadable folders must be seen, and read by tasks; each worker
+must have it mounted. A tree on a Hadoop file system is listed and read by Spark's own binary file source, in parallel.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loamstack.functions.text import ext_of as column_ext
 from loamstack.schemas import FILES
 
 # Extensions of text files, and names of folders that hold no documents.
 EXTENSIONS = (
-    "md markdown txt rst json yaml yml toml csv tsv html htm xml log rs py js jsx ts tsx go c h cpp hpp java rb sh bash zsh "
-    "sql proto graphql dockerfile makefile ini cfg conf env"
-).split()
+    "md", "markdown", "txt", "rst", "json", "yaml", "yml", "toml", "csv", "tsv", "html", "htm", "xml", "log", "rs", "py", "js", "jsx", "ts", "tsx",
+    "go", "c", "h", "cpp", "hpp", "java", "rb", "sh", "bash", "zsh", "sql", "proto", "graphql", "dockerfile", "makefile", "ini", "cfg", "conf", "env",
+)
 IGNORED_DIRS = ("node_modules", "target", "dist", "build", "venv", "__pycache__", "vendor")
 MAX_FILE_BYTES = 8 << 20
 BOM = b"\xef\xbb\xbf"
@@ -123,6 +129,59 @@ def files(spark: SparkSession, root: str, extensions: Iterable[str] = (), extrac
     return spark.createDataFrame([(f.path, f.size, f.mtime_secs, f.ext) for f in discover(root, extensions, extractors)], FILES)
 
 
+def listed(spark: SparkSession, uri: str, extensions: Iterable[str] = ()) -> DataFrame:
+    """As ``files`` for a folder given by URI: ``path`` is the file's URI, which ``uri`` repeats. No content is read.
+
+    The same rules hold, but links are those of the file system, and what cannot be listed raises.
+    """
+    allowed = {*EXTENSIONS, *(e.lower().lstrip(".") for e in extensions)}
+    base = uri.rstrip("/") + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri).select("path", "length", "modificationTime")
+    # Spark writes a local URI with one slash; paths under the root keep the root's own notation.
+    tail = F.regexp_replace("path", "^[a-z][a-z0-9+.-]*:/+", "")
+    under = F.substring(tail, len(re.sub("^[a-z][a-z0-9+.-]*:/+", "", base)) + 1, 1 << 30)
+    folders = F.slice(F.split(under, "/"), 1, F.size(F.split(under, "/")) - 1)
+    hidden = F.exists(folders, lambda f: f.startswith(".") | f.isin(*IGNORED_DIRS))
+    found = rows.select(F.concat(F.lit(base), under).alias("path"), F.col("length").alias("size"), F.greatest(F.unix_seconds("modificationTime"), F.lit(0)).alias("mtime_secs"), hidden.alias("hidden"))
+    found = found.withColumn("ext", column_ext(F.col("path"))).where(~F.col("hidden") & F.col("ext").isin(*allowed) & (F.col("size") <= MAX_FILE_BYTES))
+    return found.select("path", "size", "mtime_secs", "ext", F.lit(uri).alias("uri"))
+
+
+def read_listed(df: DataFrame) -> DataFrame:
+    """As ``read_sections`` for rows of ``listed``: the files are read by Spark's source, only those that are asked for."""
+    uri = df.select("uri").first()
+    if uri is None:
+        return df.sparkSession.createDataFrame([], "path string, content_hash string, status string, sections array<struct<text:string,page:int>>, error string")
+    base = uri[0].rstrip("/") + "/"
+    cut = len(re.sub("^[a-z][a-z0-9+.-]*:/+", "", base)) + 1
+    rows = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri[0]).where(F.col("length") <= MAX_FILE_BYTES)
+    named = rows.select(F.concat(F.lit(base), F.substring(F.regexp_replace("path", "^[a-z][a-z0-9+.-]*:/+", ""), cut, 1 << 30)).alias("path"), "content")
+    asked = named.join(df.select("path"), "path", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            out = [_read_one(p, raw, lambda raw=raw: [(decode(raw), None)]) for p, raw in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist([dict(zip(_READ.names, r)) for r in out], schema=_READ)
+
+    return asked.mapInArrow(run, "path string, content_hash string, status string, sections array<struct<text:string,page:int>>, error string")
+
+
+_READ = pa.schema([("path", pa.string()), ("content_hash", pa.string()), ("status", pa.string()), ("sections", pa.list_(pa.struct([("text", pa.string()), ("page", pa.int32())]))), ("error", pa.string())])
+
+
+def _read_one(path: str, raw: bytes, extract: Callable[[], list[tuple[str, int | None]]]) -> tuple:
+    digest = hashlib.sha256(raw).hexdigest()
+    try:
+        sections = extract()
+    except NoText:
+        sections = []
+    except Exception as error:  # noqa: BLE001 - a user's extractor may raise anything
+        return path, digest, "error", [], f"{type(error).__name__}: {error}"
+    if not any(t and t.strip() for t, _ in sections):
+        return path, digest, "empty", [], None
+    return path, digest, "ok", [{"text": t, "page": p} for t, p in sections], None
+
+
 def decode(raw: bytes) -> str:
     """UTF-8 text. Behind a byte order mark the bytes must be valid; without one, invalid ones become U+FFFD."""
     return raw[len(BOM) :].decode("utf-8", "strict") if raw.startswith(BOM) else raw.decode("utf-8", "replace")
@@ -133,27 +192,18 @@ def read_sections(df: DataFrame, extractors: Iterable[Extractor] = ()) -> DataFr
 
     Status is ok, empty (readable without text) or error. A file's failure stays with the file: no task fails for it.
     """
-    import hashlib
-
     extractors = list(extractors)
 
     def one(path: str, ext: str | None) -> tuple:
-        digest = None
         try:
-            by = find_extractor(extractors, ext)
             raw = Path(path).read_bytes()
-            digest = hashlib.sha256(raw).hexdigest()
-            sections = by.extract(path) if by else [(decode(raw), None)]
-            if not any(t and t.strip() for t, _ in sections):
-                return path, digest, "empty", [], None
-            return path, digest, "ok", [{"text": t, "page": p} for t, p in sections], None
-        except NoText:
-            return path, digest, "empty", [], None
-        except Exception as error:  # noqa: BLE001 - a user's extractor may raise anything
-            return path, digest, "error", [], f"{type(error).__name__}: {error}"
+        except OSError as error:
+            return path, None, "error", [], f"{type(error).__name__}: {error}"
+        by = find_extractor(extractors, ext)
+        return _read_one(path, raw, (lambda: by.extract(path)) if by else lambda: [(decode(raw), None)])
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame([one(p, e) for p, e in zip(frame["path"], frame["ext"])], columns=["path", "content_hash", "status", "sections", "error"])
+            yield pd.DataFrame([one(p, e) for p, e in zip(frame["path"], frame["ext"])], columns=_READ.names)
 
     return df.select("path", "ext").mapInPandas(run, "path string, content_hash string, status string, sections array<struct<text:string,page:int>>, error string")

@@ -7,7 +7,7 @@ import pytest
 from loamstack.engine import Engine
 from loamstack.operators.indexer import Options, index_directory, index_one, index_table
 from loamstack.operators.ledger import StaleWriter
-from loamstack.operators.store import Store
+from loamstack.operators.store import FAN, Store, due
 from loamstack.sources import corpus
 from loamstack.streaming.ingest import ingest
 
@@ -169,3 +169,73 @@ def test_table_and_stream(spark, tmp_path):
     stream = spark.readStream.schema("path string, text string").parquet(str(tmp_path / "in"))
     ingest(stream, store, str(tmp_path / "check")).awaitTermination()
     assert {r["path"] for r in store.refresh().docs().collect()} == {"/a", "/b", "/c"}
+
+
+def test_two_thousand_segments_and_a_torn_manifest(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    names = [f"segment-{i:032x}" for i in range(2_000)]
+    store._publish(7, names, [0] * 2_000)
+    assert Store(spark, str(tmp_path)).manifest.segments == names
+    # A writer that died while it wrote leaves nothing of its own, and what an older one left torn is passed over.
+    (tmp_path / "manifest-2.json").write_text('{"version": 2, "segm')
+    (tmp_path / ".manifest-3-abc").write_text("{")
+    again = Store(spark, str(tmp_path))
+    assert again.next_chunk_key() == 7
+    again.clear()
+    assert again.manifest.version == 3 and Store(spark, str(tmp_path)).manifest.segments == []
+
+
+def test_segments_are_merged_by_level(spark, tmp_path):
+    levels = []
+    for _ in range(FAN**3 - 1):
+        levels.append(0)
+        while n := due(levels):
+            levels[-n:] = [levels[-1] + 1]
+    assert len(levels) == 3 * (FAN - 1) and levels == sorted(levels, reverse=True)
+    store = Store(spark, str(tmp_path))
+    row = "path string, content_hash string, mtime_secs long, size long"
+    for i in range(FAN + 1):
+        docs = spark.createDataFrame([(f"/d{i % 5}", f"h{i}", 0, 1)], row)
+        store.upsert(docs, spark.createDataFrame([(f"/d{i % 5}", 0, f"text number{i} here")], "path string, ordinal int, text string"))
+        if i == 3:
+            store.delete(spark.createDataFrame([("/d1",)], "path string"))
+    assert store.manifest.levels == [1, 0, 0]
+    assert {r["path"]: r["content_hash"] for r in store.docs().collect()} == {"/d0": "h5", "/d1": "h6", "/d2": "h7", "/d3": "h8", "/d4": "h4"}
+    assert {r["term"] for r in store.table("postings").where("term like 'number%'").collect()} == {f"number{i}" for i in range(4, 9)}
+    assert store.intact() and not store.repair()
+    segments = {p.name for p in tmp_path.iterdir() if p.name.startswith("segment-")}
+    assert store.vacuum(retain=-5.0) > 0
+    assert {p.name for p in tmp_path.iterdir() if p.name.startswith("segment-")} == set(store.manifest.segments) < segments
+    # A damaged keyword table is made anew.
+    for file in (tmp_path / store.manifest.segments[0] / "postings").glob("*.parquet"):
+        file.write_bytes(b"damaged")
+    for file in (tmp_path / store.manifest.segments[0] / "postings").glob(".*.crc"):
+        file.unlink()
+    assert store.repair() and store.table("postings").where("term = 'number8'").count() == 1
+
+
+def test_progress_tells_of_each_window_and_file(spark, tmp_path):
+    for i in range(129):
+        write(tmp_path / f"many/doc{i:03}.md", f"source marker {i} exact document content")
+    told, files = [], []
+    index_directory(
+        Store(spark, str(tmp_path / "s")), str(tmp_path / "many"),
+        progress=lambda kind, what: told.append((what["done"], what["total"])) if kind == "embedding" else None, each=lambda *file: files.append(file),
+    )
+    assert told == [(0, 129), (128, 129), (129, 129)]
+    assert len(files) == 129 and files[-1][1:] == (129, 129)
+
+
+def test_a_tree_given_by_uri(spark, tmp_path):
+    root = tmp_path / "corpus"
+    for name in ("a.md", "deep/b.txt", ".hidden/x.md", "node_modules/x.md", "pic.png", "Makefile"):
+        write(root / name, f"document called {name}")
+    (root / "bad.md").write_bytes(corpus.BOM + b"\xff")
+    write(root / "empty.md", " ")
+    uri = f"file://{root}"
+    store = Store(spark, str(tmp_path / "s"))
+    report = index_directory(store, uri)
+    assert (report.indexed, report.failed) == ([f"{uri}/Makefile", f"{uri}/a.md", f"{uri}/deep/b.txt"], [f"{uri}/bad.md"])
+    assert "failed: " in report.summary()
+    (root / "a.md").unlink()
+    assert str(index_directory(store, uri)) == "indexed 0, unchanged 3, pruned 1, failed 1"
