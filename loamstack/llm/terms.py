@@ -1,12 +1,70 @@
-"""How distinctive a term is of a record (problem 3): log-entropy weighting by two aggregations."""
+"""How distinctive a term is of a record (problem 3): log-entropy weighting by two SQL aggregations.
+
+The first adds up what each record has of each term, the second what each term has over all records. A term that every
+record has would put all its rows in one task; so rows lie by term and by one of ``SALTS`` classes of records, and the
+second aggregation goes first over a term's rows of a class, then over its classes, and comes back to the rows by both.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 TERM = "[a-z0-9]{4,}"
+#: Classes of records over which the rows of a term are spread.
+SALTS = 32
+
+
+def _counts(batches, names: list[str]):
+    """Pieces that hold a term, and its occurrences, for each record and run of pieces; rows come sorted by these and by piece."""
+    find = re.compile(TERM).findall
+    out: list[list] = [[], [], [], []]
+    group, piece, texts, have = None, None, set(), set()
+    pieces: Counter = Counter()
+    tf: Counter = Counter()
+
+    def close():
+        if tf:
+            out[0] += [group[0]] * len(tf)
+            out[1] += tf
+            out[2] += map(pieces.__getitem__, tf)
+            out[3] += tf.values()
+            pieces.clear()
+            tf.clear()
+
+    def made():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+        for c in out:
+            c.clear()
+        return batch
+
+    kinds = None
+    for batch in batches:
+        kinds = kinds or [batch.schema.types[0], pa.string(), pa.int64(), pa.int64()]
+        for r, b, p, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if (r, b) != group:
+                close()
+                group, piece = (r, b), None
+                if len(out[1]) > 50_000:
+                    yield made()
+            if piece is None or p != piece[0]:
+                piece, texts, have = (p,), set(), set()
+            if t in texts:
+                continue
+            texts.add(t)
+            found = find(t.lower())
+            tf.update(found)
+            new = set(found) - have
+            pieces.update(new)
+            have |= new
+    close()
+    if kinds:
+        yield made()
 
 
 def term_weights(df: DataFrame, record: str = "path", piece: str = "chunk_key", text: str = "text") -> DataFrame:
@@ -17,24 +75,25 @@ def term_weights(df: DataFrame, record: str = "path", piece: str = "chunk_key",
 
     Terms are runs of at least 4 ASCII letters and digits of the lower-cased text. Repeated rows count once; a piece that
     occurs with several texts holds the terms of all. Null texts hold no term, but their record counts in ``total``; null
-    records take no part. A record of any number of pieces is aggregated partially before each shuffle.
+    records take no part. Neither a record of many pieces nor a term of many records is gathered in one task.
     """
     rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("_r"), F.col(piece).alias("_p"), F.col(text).alias("_t"))
     total = rows.agg(F.countDistinct("_r").cast("double").alias("total"))
     # Pieces with near keys go to one task, which puts most pieces of a record together without gathering a large record.
     near = F.floor(F.col("_p") / 512) if isinstance(df.schema[piece].dataType, NumericType) else F.pmod(F.xxhash64("_p"), F.lit(64))
-    merged = rows.where("_t is not null").withColumn("_b", near).repartition("_r", "_b").groupBy("_r", "_b", "_p").agg(F.concat_ws("\n", F.collect_set("_t")).alias("_t"))
-    words = merged.select("_r", "_b", F.expr(f"regexp_extract_all(lower(_t), '{TERM}', 0)").alias("_w"))
-    marked = F.transform("_w", lambda t, i: F.struct(t.alias("term"), (F.array_position("_w", t) == i + 1).cast("int").alias("first")))
+    sorted_ = rows.where("_t is not null").select("_r", near.alias("_b"), "_p", "_t").repartition("_r", "_b").sortWithinPartitions("_r", "_b", "_p")
     # Added up where the pieces are, so that a term is sent once for each record and 512 of its pieces at most.
-    there = words.select("_r", "_b", F.inline(marked)).groupBy("_r", "_b", "term").agg(F.sum("first").alias("pieces"), F.count("*").alias("tf"))
-    local = there.repartition("term").groupBy("term", "_r").agg(F.sum("pieces").alias("pieces"), F.sum("tf").alias("tf"))
-    term = Window.partitionBy("term")
-    spread = local.select("*", F.count("*").over(term).alias("records"), F.sum("tf").over(term).alias("gf"), F.sum(F.col("tf") * F.log("tf")).over(term).alias("s"))
+    kind = df.schema[record].dataType.simpleString()
+    there = sorted_.mapInArrow(lambda batches: _counts(batches, ["_r", "term", "pieces", "tf"]), f"_r {kind}, term string, pieces bigint, tf bigint")
+    salted = there.withColumn("_s", F.pmod(F.xxhash64("_r"), F.lit(SALTS)).cast("int")).repartition("term", "_s")
+    local = salted.groupBy("term", "_s", "_r").agg(F.sum("pieces").alias("pieces"), F.sum("tf").alias("tf"))
+    part = local.groupBy("term", "_s").agg(F.count("*").alias("records"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log("tf")).alias("s"))
+    whole = Window.partitionBy("term")
+    spread = part.select("term", "_s", *(F.sum(c).over(whole).alias(c) for c in ("records", "gf", "s")))
     entropy = F.log("gf") - F.col("s") / F.col("gf")
     norm = F.when(F.col("total") > 1, entropy / F.log("total")).otherwise(0.0)
     return (
-        spread.crossJoin(F.broadcast(total))
+        local.join(spread, ["term", "_s"]).crossJoin(F.broadcast(total))
         .select(
             F.col("_r").alias(record), "term", "pieces", "tf", "records", F.col("total").cast("bigint").alias("total"),
             F.round(F.log1p("tf") * F.greatest(1 - norm, F.lit(0.0)), 9).alias("log_entropy"),

@@ -2,8 +2,12 @@
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from loamstack.llm import terms
 from loamstack.llm.terms import most_distinctive, term_weights
 
 ROWS = [
@@ -56,3 +60,19 @@ def test_empty_and_text_keys(spark):
     assert {(r["path"], r["term"]): r["rarity"] for r in term_weights(named).collect()} == {k: v[4] for k, v in by_hand().items()}
     one = term_weights(frame(spark).where("path = '/b'")).collect()
     assert all(r["rarity"] == 0 for r in one) and all(r["log_entropy"] > 0 for r in one)
+
+
+def test_a_piece_of_many_words_takes_linear_time(spark):
+    words = [f"word{i % 20_000}" for i in range(40_000)]
+    df = spark.createDataFrame([("a", 1, " ".join(words)), ("b", 2, "word1 other")], "path string, chunk_key long, text string")
+    began = time.perf_counter()
+    rows = {r["term"]: r for r in terms.term_weights(df).where("path = 'a'").collect()}
+    assert time.perf_counter() - began < 5 and len(rows) == 20_000
+    assert (rows["word1"]["tf"], rows["word1"]["pieces"], rows["word1"]["records"]) == (2, 1, 2)
+
+
+def test_a_term_of_all_records_is_spread(spark):
+    df = spark.range(3_000).selectExpr("concat('r', id) path", "id chunk_key", "concat('everywhere only', id) text")
+    found = terms.term_weights(df).where("term = 'everywhere'")
+    assert {(r["records"], r["rarity"]) for r in found.collect()} == {(3_000, 0.0)}
+    assert found.groupBy(F.pmod(F.xxhash64("path"), F.lit(terms.SALTS))).count().count() == terms.SALTS
