@@ -11,7 +11,23 @@ spread AS (SELECT term, count(*) AS d, sum(tf)::DOUBLE AS gf, sum(tf * ln(tf)) A
 total AS (SELECT count(DISTINCT path)::DOUBLE AS p FROM pieces)
 """
 
+# What Python takes as white space and, without digits, as the letters of words.
+_GAP = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
+_END = "[.!?…”\"»。！？]"
+
 SQL: dict[str, str] = {
+    "p10_simple": f"""
+WITH seen AS (SELECT doc_id, text, regexp_replace(text, '{_GAP}', '', 'g') AS v FROM documents WHERE text IS NOT NULL),
+parts AS (
+  SELECT doc_id, v, regexp_extract_all(lower(replace(text, 'İ', 'i' || chr(775))), '{_LETTER}+(?:[''’]{_LETTER}+)*') AS w,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '{_GAP}', '', 'g') <> '') AS l FROM seen WHERE v <> '')
+SELECT doc_id, len(w) AS n_words, round(ln(1 + len(w)), 9) AS log_words,
+  round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w) ELSE 0 END, 9) AS mean_word_len,
+  round(length(regexp_replace(v, '[\\p{{L}}\\p{{Nd}}²³¹⁰-⁹₀-₉①-⑨]', '', 'g'))::DOUBLE / length(v), 9) AS symbol_ratio,
+  round(len(list_filter(l, lambda x: regexp_matches(x, '{_END}{_GAP}*$')))::DOUBLE / len(l), 9) AS punct_lines
+FROM parts
+""",
     "p2_found": f"""
 WITH items AS (
   SELECT 'section' AS item_kind, section_id AS item_id, text FROM sections

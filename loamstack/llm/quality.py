@@ -3,8 +3,7 @@
 Statistics of each text are computed in one pass. For each language, mean and covariance of prose are estimated robustly:
 documents are taken as prose at first where most of their characters stand in lines of running text, and then, again and
 again, where their distance from the last estimate is small. The squared Mahalanobis distance of a document from the prose
-of its language splits into one contribution for each statistic; documents beyond the limit on the side of less prose are
-not natural prose.
+of its language splits into one contribution for each statistic; documents beyond the limit are not natural prose.
 """
 
 from __future__ import annotations
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 
 from loamstack.session import cut_lineage
 
-STATS = ["mean_word_len", "symbol_ratio", "digit_ratio", "upper_ratio", "punct_lines", "common_share", "distinct_share", "running_share"]
-LANGS = ("de", "en", "es", "fr")
+STATS = ["log_words", "mean_word_len", "symbol_ratio", "digit_ratio", "upper_ratio", "punct_lines", "common_share", "distinct_share", "running_share"]
+#: Squared distance beyond which a document is no prose: seven standard deviations.
+LIMIT = 49.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
@@ -113,7 +113,7 @@ def statistics(text: str, common: dict[str, frozenset[str]], lang: str | None) -
     lines = [x for x in text.split("\n") if x.strip()]
     size = len(visible)
     return (
-        best or lang or "", n, sum(map(len, words)) / n if n else 0.0, (size - letters - digits) / size, digits / size, upper / max(letters, 1),
+        best or lang or "", n, math.log1p(n), sum(map(len, words)) / n if n else 0.0, (size - letters - digits) / size, digits / size, upper / max(letters, 1),
         sum(x.rstrip().endswith(_ENDS) for x in lines) / max(len(lines), 1), (hits[best] / n if n else 0.0) if hits else 0.0,
         len(counts) / math.sqrt(n) if n else 0.0, min(1.0, running_chars(text, every) / max(len(text.strip()), 1)),
     )
@@ -172,9 +172,8 @@ def _moments(stats: DataFrame, model: dict, keep: float) -> dict[str, tuple[int,
     def sums(batches):
         for batch in batches:
             langs, x = _matrix(batch)
-            good = x[:, STATS.index("running_share")] > 0.5
-            if model:
-                good &= contributions(langs, x, model).sum(1) <= keep
+            # Running text only starts the estimate; from then on the distance chooses.
+            good = contributions(langs, x, model).sum(1) <= keep if model else x[:, STATS.index("running_share")] > 0.5
             codes = np.array([c or "" for c in langs], dtype=object)
             rows = []
             for code in set(codes[good]):
@@ -194,11 +193,11 @@ def _moments(stats: DataFrame, model: dict, keep: float) -> dict[str, tuple[int,
 
 
 # A statistic's least standard deviation, so that one that hardly varies in prose does not decide alone.
-LEAST = np.array([0.35, 0.02, 0.02, 0.02, 0.15, 0.04, 1.0, 0.12])
+LEAST = np.array([1.0, 0.35, 0.02, 0.02, 0.02, 0.15, 0.04, 1.0, 0.12])
 
 
 # Where a corpus has no prose at all: what prose has.
-TYPICAL = np.array([4.8, 0.03, 0.01, 0.03, 0.8, 0.4, 5.0, 0.98])
+TYPICAL = np.array([5.0, 4.8, 0.03, 0.01, 0.03, 0.8, 0.4, 5.0, 0.98])
 
 
 def fit_prose(stats: DataFrame, rounds: int = 3, keep: float = 24.0, least: int = 20) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -220,24 +219,21 @@ def fit_prose(stats: DataFrame, rounds: int = 3, keep: float = 24.0, least: int
     return model or {"": (TYPICAL, np.diag(1 / LEAST**2))}
 
 
-def assess(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: float = 9.0) -> DataFrame:
+def assess(df: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", limit: float = LIMIT) -> DataFrame:
     """STATS of each row, the squared ``distance`` from prose, each statistic's part of it (``d_...``), and ``prose``.
 
-    A text is not natural prose if its distance is over ``limit`` and less than half of it is running text, or all of it
-    is junk. Null, empty and blank texts have nulls and are no case of either. Repeated rows stay; an empty table gives
+    A text is not natural prose if its distance is over ``limit``; nothing else decides. Null, empty and blank texts have nulls and are no case of either. Repeated rows stay; an empty table gives
     no rows.
     """
     stats = cut_lineage(describe(df, words, key, text, lang))
     model = fit_prose(stats)
-    running = STATS.index("running_share")
-    half = float(model[""][0][running]) / 2
 
     def judge(batches):
         for batch in batches:
             langs, x = _matrix(batch)
             parts = contributions(langs, x, model)
             far = parts.sum(1)
-            prose = ~((far > limit) & (x[:, running] < half))
+            prose = far <= limit
             blank = np.array([code is None for code in langs])
             floats = [pa.array(c, pa.float64(), mask=blank) for c in (far, *parts.T)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *floats, pa.array(prose, pa.bool_(), mask=blank)], names=[*batch.schema.names, "distance", *(f"d_{s}" for s in STATS), "prose"])

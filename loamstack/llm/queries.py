@@ -82,4 +82,10 @@ def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats)}
+def p10_simple(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of p10_stats that SQL can express on whole texts."""
+    rows = quality.describe(table(spark, folder, "documents", "doc_id", "text", "lang"), table(spark, folder, "common_words")).where("n_words is not null")
+    return rows.select("doc_id", "n_words", *(F.round(c, 9).alias(c) for c in ("log_words", "mean_word_len", "symbol_ratio", "punct_lines")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats, p10_simple)}

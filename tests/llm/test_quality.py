@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loamstack.llm.quality import STATS, assess, describe, fit_prose
+from loamstack.llm.quality import LIMIT, STATS, assess, describe, fit_prose
 
 EN = "the of and a to in is was it that for on with as at by be this are from".split()
 WORDS = [("en", w) for w in EN] + [("de", w) for w in "der die das und ist war nicht ein zu von mit auf dass".split()] + [(None, "x"), ("en", None), ("en", "the")]
@@ -51,3 +51,13 @@ def test_no_prose_at_all_and_empty(spark):
     assert {r["prose"] for r in assess(df.where("doc_id between 200 and 204"), words).collect()} == {False}
     assert assess(df.limit(0), words).count() == 0
     assert assess(df, words.limit(0)).count() == df.count()
+
+
+def test_the_distance_decides_where_running_text_alone_would_err(spark):
+    df, words = frames(spark)
+    # Function words without end read on like running text, but no prose is made of them alone.
+    salad = spark.createDataFrame([(500, "the of and to in is was it that for " * 60 + ".", "en")], "doc_id long, text string, lang string")
+    row = assess(df.select("doc_id", "text", "lang").unionByName(salad), words).where("doc_id = 500").first()
+    assert row["running_share"] == 1.0 and row["distance"] > LIMIT and row["prose"] is False
+    parts = {s: row[f"d_{s}"] for s in STATS}
+    assert parts["running_share"] < 10 < max(parts["common_share"], parts["distinct_share"])
