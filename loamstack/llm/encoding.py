@@ -4,6 +4,9 @@ Bytes of one encoding that were read in another turn a letter into one or more u
 operations: write the text in one encoding and read it in another, or resolve escapes. A best-first search over the
 texts that can be reached goes on from the most plausible one and keeps the cheapest. Plausibility comes from the corpus:
 the pairs of neighbouring characters of all its words that are not plain ASCII, counted in one pass.
+
+Each distinct word is searched once. Ways back that only a step between one-byte encodings gave must make words that the
+corpus has; what they are held against are exact counts, by joins. The texts then look their words up.
 """
 
 from __future__ import annotations
@@ -13,23 +16,28 @@ import heapq
 import html
 import math
 import re
-import zlib
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstack.llm.lookup import BROADCAST_ROWS, by_word, with_own
+from loamstack.session import cut_lineage
+
 # A word that is not plain ASCII; it begins behind white space, so a long ASCII run is passed over once.
 _WORD = re.compile("(?<![^ \n\t\r])[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^ \n\t\r]*")
+# A plain ASCII word, which may hold escapes.
+_PLAIN = re.compile("(?<![^ \n\t\r])[!-~]++(?![^ \n\t\r])")
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 # What lossy writing leaves: words of question marks, or one inside a word or where a hyphen was at a line's end.
 _LOST = re.compile(r"(?<![\w?!])\?{2,}(?: \?{2,}){1,}|(?<=[a-z])\?(?=[a-z]{2})(?![a-z]+=)|(?<=[^\W\d_])\?\n(?=[a-zà-ÿ])")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
 _LINK = re.compile(r"[/=&#]")
-# Parts of a long word, ever smaller ones. They end at ASCII characters, which no encoded character has within, or at wide blanks.
-_PARTS = [re.compile(p) for p in ("[!-~]{0,8}[^\x00-\x7f](?:[^\x00-\x7f]|[!-~]{1,8}(?=[^\x00-\x7f]))*+[!-~]{0,8}", r"\S+", "[!-~]{0,8}[^\x00-\x7f]+[!-~]{0,8}")]
+# Parts of a word that has no way back as a whole: what lies between wide blanks, then between ASCII signs, which no
+# encoded character has within.
+_PARTS = [re.compile(r"\S+"), re.compile("[^\x00-/:-@\\[-`{-\x7f]+")]
 _ODD = re.compile("[\x7f-\x9f�]")
-_LONG = 200
 
 # Encodings that texts are wrongly read in, and those they are truly in.
 WRONG = ("cp1252", "mac_roman", "cp1251", "cp1250", "cp850", "cp437", "koi8_r")
@@ -61,11 +69,6 @@ def _class(ch: str) -> str:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_BUCKETS = 1 << 18
-
-
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % _BUCKETS
 
 
 def pairs_of(word: str) -> list[str]:
@@ -74,23 +77,71 @@ def pairs_of(word: str) -> list[str]:
     return [shape[i : i + 2] for i in range(len(shape) - 1)]
 
 
-class Repairer:
-    """Finds and undoes wrong readings of words. ``margin``: by how much, in nats, the way back must lower
-    the cost; ``even``: how much more for each step between one-byte encodings, which is weaker evidence than well-formed
-    UTF-8. Letters that only such a step gave must make words that the corpus has (``words``, counts by hash)."""
+def cores_of(text: str) -> list[str]:
+    """Its runs of letters that are not plain ASCII, in lower case."""
+    return [c for c in _LETTERS.findall(text.lower()) if not c.isascii()]
+
+
+def unescaped(word: str) -> str | None:
+    """The word with its escapes resolved once; None if it has none."""
+    if "&" not in word and "\\u" not in word:
+        return None
+    plain = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), html.unescape(word))
+    return plain if plain != word else None
+
+
+def resolved(word: str) -> str:
+    """The word with its escapes resolved until there are none left."""
+    while (plain := unescaped(word)) is not None:
+        word = plain
+    return word
+
+
+def suspects(text: str) -> list[re.Match]:
+    """The words of a text that may be garbled: those that are not plain ASCII, or not once their escapes are resolved."""
+    found = list(_WORD.finditer(text)) if not text.isascii() else []
+    if "&" in text or "\\u" in text:
+        found += [m for m in _PLAIN.finditer(text) if not resolved(m[0]).isascii()]
+        found.sort(key=re.Match.start)
+    return found
+
+
+def parts_of(word: str) -> list[re.Match]:
+    """Parts in which a word is looked at that has no way back as a whole; none if it is a part itself."""
+    for pattern in _PARTS:
+        parts = [m for m in pattern.finditer(word) if not m[0].isascii()]
+        if [m[0] for m in parts] != [word]:
+            return parts
+    return []
+
+
+def searched(text: str) -> set[str]:
+    """All words and parts that may be looked up for a text."""
+    out: set[str] = set()
+    left = [m[0] for m in suspects(text)]
+    while left:
+        word = left.pop()
+        if word not in out:
+            out.add(word)
+            left += [m[0] for m in parts_of(word)]
+    return out
 
-    def __init__(self, counts: dict[str, int], words: dict[int, int], margin: float = 4.0, even: float = 2.5, depth: int = 3, expansions: int = 12, most: int = 300_000):
+
+class Searcher:
+    """Finds ways back of words. ``margin``: by how much, in nats, the way back must lower the cost; ``even``: how much more
+    for each step between one-byte encodings, which is weaker evidence than well-formed UTF-8."""
+
+    def __init__(self, counts: dict[str, int], margin: float = 4.0, even: float = 2.5, depth: int = 3, expansions: int = 16):
         self.total = math.log(sum(counts.values()) + 1.0)
         self.costs = {pair: self.total - math.log(n + 0.5) for pair, n in counts.items()}
         self.unseen = self.total - math.log(0.05)
-        self.words, self.margin, self.even, self.depth, self.expansions, self.most = words, margin, even, depth, expansions, most
-        self.known: dict[str, tuple[str, float]] = {}
+        self.margin, self.even, self.depth, self.expansions = margin, even, depth, expansions
 
     def cost(self, word: str) -> float:
         """Sum over neighbouring characters of how rare the pair is; control characters cost extra."""
         costs, unseen = self.costs, self.unseen
         odd = 6.0 * len(_ODD.findall(word))
-        if len(word) > _LONG:
+        if len(word) > 64:  # the same sum, pair by pair
             shape = f"^{word}$"
             return sum(n * costs.get(_class(a) + _class(b), unseen) for (a, b), n in Counter(zip(shape, shape[1:])).items()) + odd
         return sum(costs.get(p, unseen) for p in pairs_of(word)) + odd
@@ -109,69 +160,86 @@ class Repairer:
                 if true != codec:
                     yield codecs.charmap_decode(raw, "strict", _READ[true])[0], self.even
 
-    def _known(self, fixed: str, word: str) -> bool:
-        """Whether the corpus has all words of ``fixed`` that are not plain ASCII, more often than those of ``word``."""
-        def least(text: str) -> int | None:
-            cores = [c for c in _LETTERS.findall(text.lower()) if not c.isascii()]
-            return min((self.words.get(_bucket(c), 0) if len(c) > 1 else 0 for c in cores), default=None)
-
-        own, was = least(fixed), least(word)
-        return own is None or own > max(1, 2 * (was or 0))
-
-    def search(self, word: str) -> tuple[str, float]:
-        """The most plausible text that can be reached, and how much cheaper it is; the word itself and 0 if nothing is
-        cheaper enough. Escapes are resolved on the way, but resolving them alone undoes no wrong reading."""
-        plain = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), html.unescape(word)) if "&" in word or "\\u" in word else word
-        start = min(self.cost(word), self.cost(plain))
-        best, lowest = word, start - self.margin
-        heap, seen, left = [(start, 0, plain, 0.0)], {word, plain}, self.expansions
+    def options(self, word: str) -> tuple[str, list[tuple[str, float, bool]]]:
+        """The word with all escapes resolved, and the texts that can be reached and are cheaper enough, the cheapest first:
+        text, how much cheaper it is, and whether the corpus must have its words.
+
+        Writing and reading anew, and resolving escapes, are the edges. Resolving escapes alone undoes no wrong reading,
+        so a text counts only behind a step of the other kind, and is held against the word in its best escaped form.
+        """
+        plain, start = word, self.cost(word)
+        while (further := unescaped(plain)) is not None:
+            plain, start = further, min(start, self.cost(further))
+        limit = start - self.margin
+        heap, seen, found, left = [(self.cost(word), 0, word, 0.0, False)], {(word, False), (plain, True)}, [], self.expansions
         while heap and left:
-            own, depth, text, paid = heapq.heappop(heap)
+            own, depth, text, paid, read = heapq.heappop(heap)
             left -= 1
+            if (resolved := unescaped(text)) is not None and (resolved, read) not in seen:
+                seen.add((resolved, read))
+                cost = self.cost(resolved) + paid
+                if read and cost < limit:
+                    found.append((cost, resolved, paid))
+                heapq.heappush(heap, (cost, depth, resolved, paid, read))
             for other, price in self._next(text):
-                if other in seen:
+                if (other, True) in seen:
                     continue
-                seen.add(other)
+                seen.add((other, True))
                 cost = self.cost(other) + paid + price
-                if cost < lowest and (not paid + price or self._known(other, plain)):
-                    best, lowest = other, cost
+                if cost < limit:
+                    found.append((cost, other, paid + price))
                 # Only what became no dearer can be on the way of a wrong reading that was undone.
                 if depth + 1 < self.depth and cost <= own:
-                    heapq.heappush(heap, (cost, depth + 1, other, paid + price))
-        return best, start - lowest if best != word else 0.0
+                    heapq.heappush(heap, (cost, depth + 1, other, paid + price, True))
+        # Where only escapes hide characters beyond ASCII, one-byte steps say nothing: each such escape was written on purpose.
+        found = sorted((f for f in found if not (f[2] and word.isascii())), key=lambda f: f[0])
+        return plain, [(text, start - cost, paid > 0) for cost, text, paid in found]
+
+
+def choose(plain: str, options: list, counts: dict[str, int]) -> tuple[str, float] | None:
+    """The cheapest option of which the corpus, where it must, has all words that are not plain ASCII, more often than
+    those of the word itself. Single letters are no words."""
+
+    def least(text: str) -> int | None:
+        return min((counts.get(c, 0) if len(c) > 1 else 0 for c in cores_of(text)), default=None)
+
+    for fixed, gain, must in options:
+        if not must or (own := least(fixed)) is None or own > max(1, 2 * (least(plain) or 0)):
+            return fixed, gain
+    return None
+
+
+class Repairer:
+    """Looks words up in ``fixes`` ({word: [(fixed, gain)]}) and puts texts together again."""
+
+    def __init__(self, fixes: dict[str, list[tuple[str, float]]], most: int = 300_000):
+        self.fixes, self.most = fixes, most
+        self.known: dict[str, tuple[str, float]] = {}
 
     def word(self, word: str) -> tuple[str, float]:
-        """As ``search``, remembered. Where a long word has no way back as a whole, its parts are searched."""
+        """The restored word and its gain; the word and 0 if there is no way back. Where the whole has none, its parts are looked at."""
+        if (fix := self.fixes.get(word)) is not None:
+            return fix[0]
         found = self.known.get(word)
         if found is None:
-            found = self.search(word)
-            if len(word) > _LONG and not found[1]:
-                found = self._long(word)
+            out, at, gain = [], 0, 0.0
+            for m in parts_of(word):
+                fixed, won = self.word(m[0])
+                out += [word[at : m.start()], fixed]
+                gain, at = max(gain, won), m.end()
+            found = ("".join([*out, word[at:]]), gain) if gain else (word, 0.0)
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[word] = found
         return found
 
-    def _long(self, word: str) -> tuple[str, float]:
-        for pattern in _PARTS:
-            parts = [m for m in pattern.finditer(word) if not m[0].isascii()]
-            if [m[0] for m in parts] == [word]:
-                continue
-            out, at, gain = [], 0, 0.0
-            for m in parts:
-                fixed, won = self.word(m[0])
-                out += [word[at : m.start()], fixed if won else m[0]]
-                gain, at = max(gain, won), m.end()
-            return "".join([*out, word[at:]]), gain
-        return word, 0.0
-
     def text(self, text: str | None) -> tuple[str | None, bool]:
         """The restored text and whether any passage is garbled, restorable or not. Other texts come back unchanged."""
         if not text:
             return text, False
         out, at, garbled = [], 0, False
-        if not text.isascii():
-            found = [(m, *self.word(m[0])) for m in _WORD.finditer(text)]
+        if not text.isascii() or "&" in text or "\\u" in text:
+            found = [(m, *self.word(m[0])) for m in suspects(text)]
             # A lone character says little by itself; it counts where a word of the same text is garbled.
             garbled = any(gain and len(m[0].strip(_EDGES)) > 1 for m, _, gain in found)
             for m, fixed, gain in found if garbled else ():
@@ -185,58 +253,94 @@ class Repairer:
         return "".join([*out, text[at:]]) if at else text, garbled
 
 
-def corpus_model(df: DataFrame, text: str = "text") -> tuple[dict[str, int], dict[int, int]]:
-    """Counts over all words that are not plain ASCII: of neighbouring characters, and of words by hash.
+def model_of(found: Counter) -> tuple[Counter, Counter]:
+    """Counts of neighbouring characters, and of words in lower case, over counted words that are not plain ASCII."""
+    pairs, words = Counter(), Counter()
+    for word, n in found.items():
+        for pair in pairs_of(word):
+            pairs[pair] += n
+        for core in cores_of(word):
+            words[core] += n
+    return pairs, words
+
 
-    The first are bounded by the square of the characters below U+2600 and the blocks above, the second by the number of
-    buckets, whatever the corpus is. Each task adds up its own before anything is shuffled.
-    """
+def corpus_model(df: DataFrame, text: str = "text") -> DataFrame:
+    """``kind``, ``key`` and ``n``: counts of neighbouring characters (pair) and of words (core) that are not plain ASCII, and
+    the words and parts to be searched (word). Each task adds up its own before anything is shuffled."""
 
     def count(batches):
         for batch in batches:
             found: Counter = Counter()
+            asked: set[str] = set()
             for t in batch.column(0).to_pylist():
-                if t and not t.isascii():
-                    found.update(_WORD.findall(t))
+                if t and (not t.isascii() or "&" in t or "\\u" in t):
+                    if not t.isascii():
+                        found.update(_WORD.findall(t))
+                    asked |= searched(t)
             pairs, words = model_of(found)
-            rows = [*((a, -1, n) for a, n in pairs.items()), *(("", b, n) for b, n in words.items())]
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["pair", "bucket", "n"])
-
-    rows = df.select(text).mapInArrow(count, "pair string, bucket bigint, n bigint").groupBy("pair", "bucket").agg(F.sum("n").alias("n"))
-    pairs, words = {}, {}
-    for pair, bucket, n in zip(*(c.to_pylist() for c in rows.toArrow().columns)):
-        if bucket < 0:
-            pairs[pair] = n
-        else:
-            words[bucket] = n
-    return pairs, words
+            rows = [*(("pair", a, n) for a, n in pairs.items()), *(("core", a, n) for a, n in words.items()), *(("word", a, 1) for a in asked)]
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["kind", "key", "n"])
 
+    return df.select(text).mapInArrow(count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-def model_of(found: Counter) -> tuple[Counter, Counter]:
-    pairs, words = Counter(), Counter()
-    for word, n in found.items():
-        for pair in pairs_of(word):
-            pairs[pair] += n
-        for core in _LETTERS.findall(word.lower()):
-            if not core.isascii():
-                words[_bucket(core)] += n
-    return pairs, words
+
+def fixes_of(model: DataFrame) -> DataFrame:
+    """``word``, ``fixed`` and ``gain`` of the words of a corpus model that have a way back.
+
+    The pairs of characters reach the driver: there are no more than the square of the characters below U+2600 and of the
+    blocks above. Words and their counts stay distributed.
+    """
+    rows = model.where("kind = 'pair'").select("key", "n").toArrow()
+    counts = model.sparkSession.sparkContext.broadcast(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
+    option = pa.list_(pa.struct([("fixed", pa.string()), ("gain", pa.float64()), ("must", pa.bool_())]))
+
+    def search(batches):
+        searcher = Searcher(counts.value)
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for word in batch.column(0).to_pylist():
+                plain, found = searcher.options(word)
+                if found:
+                    out[0].append(word)
+                    out[1].append(plain)
+                    out[2].append([dict(zip(("fixed", "gain", "must"), f)) for f in found])
+                    must = any(f[2] for f in found)
+                    out[3].append(sorted({c for t in (plain, *(f[0] for f in found if f[2])) for c in cores_of(t)}) if must else [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), option, pa.list_(pa.string())))], names=["word", "plain", "options", "cores"])
+
+    found = cut_lineage(model.where("kind = 'word'").select("key").mapInArrow(search, "word string, plain string, options array<struct<fixed:string,gain:double,must:boolean>>, cores array<string>"))
+    have = model.where("kind = 'core'").select(F.col("key").alias("core"), "n")
+    counted = found.select("word", F.explode("cores").alias("core")).join(have, "core").groupBy("word").agg(F.collect_list(F.struct("core", "n")).alias("counts"))
+
+    def decide(batches):
+        for batch in batches:
+            rows = []
+            for word, plain, options, own in zip(*(c.to_pylist() for c in batch.columns)):
+                fix = choose(plain, [(o["fixed"], o["gain"], o["must"]) for o in options], {c["core"]: c["n"] for c in own or ()})
+                if fix:
+                    rows.append((word, *fix))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["word", "fixed", "gain"])
+
+    return found.join(counted, "word", "left").select("word", "plain", "options", "counts").mapInArrow(decide, "word string, fixed string, gain double")
 
 
-def repair(df: DataFrame, key: str = "chunk_key", text: str = "text") -> DataFrame:
+def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``key``, ``garbled`` and ``restored`` of each row.
 
     Null texts stay null, empty and blank ones as they are; none is garbled. Repeated rows stay. Where a passage cannot be
-    restored it stays as it is, and the row is still marked. Two passes over the text; only counts of character pairs and hashed words are shuffled.
+    restored it stays as it is, and the row is still marked. Two passes over the text; what is shuffled are distinct words
+    that are not plain ASCII. Fixes are broadcast up to ``broadcast_rows``; beyond, each text gets its own by a join.
     """
-    model = df.sparkSession.sparkContext.broadcast(corpus_model(df, text))
+    fixes = cut_lineage(fixes_of(cut_lineage(corpus_model(df, text))))
+    src, shared = with_own(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t", fixes, searched, broadcast_rows)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        repairer = Repairer(*model.value)
+        common = Repairer(shared.value) if shared is not None else None
         for batch in batches:
-            results = [repairer.text(t) for t in batch.column(1).to_pylist()]
+            texts, own = batch.column(1).to_pylist(), batch.column(2).to_pylist() if common is None else ()
+            results = [common.text(t) for t in texts] if common is not None else [Repairer(by_word(o)).text(t) for t, o in zip(texts, own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for _, g in results], pa.bool_()), pa.array([t for t, _ in results], pa.string())], names=[key, "garbled", "restored"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, garbled boolean, restored string")
+    return src.select("_k", "_t", "_own").mapInArrow(run, f"`{key}` {kind}, garbled boolean, restored string")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loamstack.llm.encoding import _bucket, model_of, repair
+from loamstack.llm.encoding import model_of, repair
 
 GOOD = [
     "Le résultat a été noté dans la marge, après la réunion déjà prévue.", "Die Kollegen äußerten sich später über die Prüfliste für das Gewächshaus.",
@@ -69,6 +69,19 @@ def test_empty_and_very_long(spark):
     assert repair(df.limit(0)).count() == 0
 
 
+def test_escapes_are_steps_of_the_search(spark, cases):
+    texts = ["&Atilde;&copy;t&Atilde;&copy; ici", "\\u00c3\\u00a9t\\u00c3\\u00a9 ici", "&amp;Atilde;&amp;copy;t&amp;Atilde;&amp;copy; ici", "&eacute;t&eacute; ici", "a &amp; b", "R&D \\usr &c;"]
+    found = run(spark, texts)
+    assert [(found[i]["garbled"], found[i]["restored"]) for i in range(3)] == [(True, "été ici")] * 3
+    assert [(found[i]["garbled"], found[i]["restored"]) for i in range(3, 6)] == [(False, t) for t in texts[3:]]
+
+
+def test_joined_fixes_give_what_broadcast_ones_give(spark, cases):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*GOOD * 40, *(bad for bad, _ in cases), None, ""])], "chunk_key long, text string")
+    rows = [sorted(map(tuple, repair(df, broadcast_rows=n).collect())) for n in (300_000, 0)]
+    assert rows[0] == rows[1] and sum(g for _, g, _ in rows[0]) == len(cases)
+
+
 def test_model_counts_whole_words():
     pairs, words = model_of({"\xa0" * 1_000 + "été": 3})
-    assert pairs["té"] == pairs["é$"] == 3 and pairs["\xa0\xa0"] == 2_997 and words[_bucket("été")] == 3
+    assert pairs["té"] == pairs["é$"] == 3 and pairs["\xa0\xa0"] == 2_997 and words["été"] == 3
