@@ -69,6 +69,17 @@ def test_recall_with_several_parts(spark, themes):
     assert all(s >= p.floor for _, _, s, _ in found)
 
 
+def test_recall_where_every_part_has_a_router_of_its_own(spark, themes):
+    # A small sample cannot tell all parts apart, as with many millions of vectors and the usual one.
+    p = Params(dims=16, part=60, block=64, split=40, sample=256, seen=32, deep=50)
+    rows = list(enumerate(themes.astype(np.float32))) + [(600 + i, themes[0].astype(np.float32)) for i in range(30)]
+    want, found = brute(rows, p), rows_of(similar(frame(spark, rows), p=p))
+    asked = [w for w in want if w[0] % 50 == 0]
+    assert len({w[:2] for w in want} & {f[:2] for f in found}) >= 0.9 * len(want) and len(asked) > 50
+    # A group of copies has its neighbours among itself, whatever part it is in.
+    assert {f for f in found if f[0] >= 600} == {w for w in want if w[0] >= 600}
+
+
 def test_parts_are_balanced_and_follow_the_graph(themes):
     x = (themes / np.linalg.norm(themes, axis=1, keepdims=True)).astype(np.float32)
     graph = neighbour_graph(x, 10)
