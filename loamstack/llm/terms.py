@@ -85,15 +85,17 @@ def term_weights(df: DataFrame, record: str = "path", piece: str = "chunk_key",
     # Added up where the pieces are, so that a term is sent once for each record and 512 of its pieces at most.
     kind = df.schema[record].dataType.simpleString()
     there = sorted_.mapInArrow(lambda batches: _counts(batches, ["_r", "term", "pieces", "tf"]), f"_r {kind}, term string, pieces bigint, tf bigint")
-    salted = there.withColumn("_s", F.pmod(F.xxhash64("_r"), F.lit(SALTS)).cast("int")).repartition("term", "_s")
+    # The filter is the one the join would put on one of the two readers of these rows only; with it they share an exchange.
+    salted = there.withColumn("_s", F.pmod(F.xxhash64("_r"), F.lit(SALTS)).cast("int")).where("term is not null and _s is not null and _r is not null").repartition("term", "_s")
     local = salted.groupBy("term", "_s", "_r").agg(F.sum("pieces").alias("pieces"), F.sum("tf").alias("tf"))
-    part = local.groupBy("term", "_s").agg(F.count("*").alias("records"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log("tf")).alias("s"))
+    # It counts by a column it could do without, so that both readers of the rows need the same and share one exchange.
+    part = local.groupBy("term", "_s").agg(F.count(F.when(F.col("pieces") > 0, 1)).alias("records"), F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.log("tf")).alias("s"))
     whole = Window.partitionBy("term")
     spread = part.select("term", "_s", *(F.sum(c).over(whole).alias(c) for c in ("records", "gf", "s")))
     entropy = F.log("gf") - F.col("s") / F.col("gf")
     norm = F.when(F.col("total") > 1, entropy / F.log("total")).otherwise(0.0)
     return (
-        local.join(spread, ["term", "_s"]).crossJoin(F.broadcast(total))
+        local.join(spread.hint("shuffle_hash"), ["term", "_s"]).crossJoin(F.broadcast(total))
         .select(
             F.col("_r").alias(record), "term", "pieces", "tf", "records", F.col("total").cast("bigint").alias("total"),
             F.round(F.log1p("tf") * F.greatest(1 - norm, F.lit(0.0)), 9).alias("log_entropy"),
