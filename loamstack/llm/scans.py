@@ -1,24 +1,25 @@
 """Noise in text from scanned pages (problem 7).
 
-One pass counts words and, in a fixed number of buckets, neighbouring words. Rare words are then held against frequent
-ones through an index of deletions: from a rare word the parts that a scanner may have put there are deleted, from a
-frequent word the parts that it may have misread, and words that meet are compared by a weighted edit distance in which
-only such confusions are cheap. Where several repairs are left, the neighbouring word decides. A second small table holds
-short lines that come back on several pages of a file. With both, each text is repaired by itself.
+One pass counts words and finds what may be broken or a running header. Rare words are then held against frequent ones
+through an index of deletions: from a rare word the parts that a scanner may have put there are deleted, from a frequent
+word the parts that it may have misread, and words that meet are compared by a weighted edit distance in which only such
+confusions are cheap. Where several repairs are left, the words before and after each occurrence decide, by exact counts of
+just the pairs that come into question. Each text then looks up its own words, and the headers of its file.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstack.io import local
+from loamstack.llm.lookup import BROADCAST_ROWS, by_word, with_own
 from loamstack.session import cut_lineage
 
 # What a scanner reads (left) where the page has (right), as pairs.
@@ -43,6 +44,7 @@ _HYPHENS = re.compile(r"[-‐¬\xad] ?\n")
 _BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-‐¬\xad]) ?\n[ \t]*([^\W\d_]+)")
 _SOFT = re.compile(r"[^\W\d_]+(?:\xad[^\W\d_]+)+")
 _LIGATURE = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+_LETTERS = re.compile(r"[^\W\d_]+")
 _FUSED = re.compile("[" + "".join(_LIGATURE) + "]")
 _PAGE = re.compile(
     r"^(?:(?:Page|Seite|Página|Pagina|page|seite|S\.|p\.|pp\.|P\.)\s?\d{1,4}(?:\s(?:of|von|de|sur|/)\s\d{1,4})?|[-–—] ?\d{1,4} ?[-–—]|\d{1,4} \|"
@@ -51,13 +53,19 @@ _PAGE = re.compile(
 _BARE = re.compile(r"^\d{1,4}$")
 _NUMBERED = re.compile(r"^(?:(\d{1,4}) {3,}(\S.{1,70})|(\S.{1,70}?) {3,}(\d{1,4}))$")
 _END = re.compile(r"[.!?:;,…”\"»)\]}>|*_`]$")
-_BUCKETS = 1 << 18
+#: Parameter: letters and digits without a border, longer than this, are a dump and no misread word.
+DUMP_CHARS = 40
+#: Parameters of a running header: the longest line that may be one, and on how many pieces of its file it must come back:
+#: a share of them, but never more than some.
+HEADER_CHARS = 90
+HEADER_SHARE = 0.05
+HEADER_TIMES = 8
 
 
 def _dump(m: re.Match) -> str:
-    """Nothing, unless all of it may be words misread: then the lexicon decides. Words over 40 characters have no index."""
+    """Nothing, unless all of it may be words misread: then the lexicon decides."""
     parts = m[0].strip("-").split("-")
-    return " ".join(parts) if all(len(p) <= 40 and WORD.fullmatch(p) for p in parts) else " "
+    return " ".join(parts) if all(len(p) <= DUMP_CHARS and WORD.fullmatch(p) for p in parts) else " "
 
 
 class _Words(dict):
@@ -70,7 +78,7 @@ class _Words(dict):
                 self.clear()
             return found
         # Of words joined by a slash or equals sign all count; a path, dump or formula has other things between them.
-        path = _PATH.search(part) and not all(2 < len(p) <= 40 and WORD.fullmatch(p) for p in _PATH.split(part.strip(_SIGNS)))
+        path = _PATH.search(part) and not all(2 < len(p) <= DUMP_CHARS and WORD.fullmatch(p) for p in _PATH.split(part.strip(_SIGNS)))
         found = () if path else tuple(WORD.findall(_DUMP.sub(_dump, part)))
         if len(self) > 400_000:
             self.clear()
@@ -87,10 +95,6 @@ def words_of(text: str) -> list[str]:
     return list(chain.from_iterable(map(_words.__getitem__, text.lower().split())))
 
 
-def _pair(a: str, b: str) -> int:
-    return zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) % _BUCKETS
-
-
 def deletions(word: str, parts: list[str], most: int = 2) -> set[str]:
     """The word with up to ``most`` of the parts deleted, one after the other from the left."""
     found = {word}
@@ -109,91 +113,167 @@ def deletions(word: str, parts: list[str], most: int = 2) -> set[str]:
 
 
 def distance(seen: str, true: str, limit: float = 1.0) -> float:
-    """Weighted edit distance from what was read to what may have been there; other edits than confusions cost too much."""
-    rows = [[limit + 1] * (len(true) + 1) for _ in range(len(seen) + 1)]
-    rows[0][0] = 0.0
+    """Weighted edit distance from what was read to what may have been there; other edits than confusions cost too much.
+
+    Only alignments within the limit are followed, of which there are a few at each place, so long words take linear time.
+    """
+    at: dict[int, dict[int, float]] = {0: {0: 0.0}}
     for i in range(len(seen) + 1):
-        for j in range(len(true) + 1):
-            here = rows[i][j]
-            if here > limit:
+        for j, here in at.pop(i, {}).items():
+            if i == len(seen):
+                if j == len(true):
+                    return here
                 continue
-            if i < len(seen) and j < len(true) and seen[i] == true[j]:
-                rows[i + 1][j + 1] = min(rows[i + 1][j + 1], here)
-            for a, b in CONFUSIONS:
-                if seen.startswith(a, i) and true.startswith(b, j):
-                    cost = here + (0.3 if _STRANGE.match(a) or len(a) + len(b) > 2 else 0.45)
-                    if cost < rows[i + len(a)][j + len(b)]:
-                        rows[i + len(a)][j + len(b)] = cost
-    return rows[len(seen)][len(true)]
+            steps = [(1, 1, 0.0)] if j < len(true) and seen[i] == true[j] else []
+            for n in (1, 2):
+                for b in _READ.get(seen[i : i + n], ()) if i + n <= len(seen) else ():
+                    if true.startswith(b, j):
+                        steps.append((n, len(b), 0.3 if _STRANGE.match(seen[i : i + n]) or n + len(b) > 2 else 0.45))
+            for n, m, cost in steps:
+                if here + cost <= limit and here + cost < at.setdefault(i + n, {}).get(j + m, limit + 1):
+                    at[i + n][j + m] = here + cost
+    return limit + 1
 
 
 # ---- corpus tables --------------------------------------------------------------------------------------------------
 
 
-def count_words(df: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Counts of words (a table) and of neighbouring words (in a fixed number of buckets). Tasks add up their own first."""
+def _kept_whole(text: str) -> set[str]:
+    """Words that a repair of breaks and ligatures asks for: whether the corpus has them decides how they are joined."""
+    out: set[str] = set()
+    if _HYPHENS.search(text):
+        for a, _, b in _BREAK.findall(text):
+            out |= {(a + b).lower(), a.lower(), b.lower()}
+    if "\xad" in text:
+        out |= {m[0].replace("\xad", "").lower() for m in _SOFT.finditer(text)}
+    if _FUSED.search(text):
+        out |= {_FUSED.sub(lambda x: _LIGATURE[x[0]], w).lower() for w in _LETTERS.findall(text) if _FUSED.search(w)}
+    return out
+
+
+def _looked_up(text: str) -> set[str]:
+    """All words that a repair of the text may look up."""
+    whole = _kept_whole(text)
+    out = {*words_of(text), *whole}
+    for w in whole:
+        out.update(words_of(w))
+    if whole:
+        # What stands beside a break may be joined to it.
+        out.update(words_of(_BREAK.sub(lambda m: m[1] + m[3], _FUSED.sub(lambda x: _LIGATURE[x[0]], text))))
+    return out
+
+
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word``, ``n`` and ``asked``: how often the corpus has each word, and whether a broken or fused word asks for it.
+    Tasks add up their own first."""
 
     def count(batches):
-        pairs = np.zeros(_BUCKETS, dtype=np.int64)
         for batch in batches:
             words: Counter = Counter()
-            follow: Counter = Counter()
+            asked: set[str] = set()
             for t in batch.column(0).to_pylist():
                 if t:
-                    found = words_of(t)
-                    words.update(found)
-                    follow.update(zip(found, found[1:]))
-            for (a, b), n in follow.items():
-                pairs[_pair(a, b)] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([-1] * len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "bucket", "n"])
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([""] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(pairs[at], pa.int64())], names=["word", "bucket", "n"])
-
-    rows = cut_lineage(df.select(text).mapInArrow(count, "word string, bucket bigint, n bigint").groupBy("word", "bucket").agg(F.sum("n").alias("n")))
-    buckets = rows.where("bucket >= 0").select("bucket", "n").toArrow()
-    pairs = np.zeros(_BUCKETS, dtype=np.int64)
-    pairs[buckets.column(0).to_numpy()] = buckets.column(1).to_numpy()
-    return rows.where("bucket < 0").select("word", "n"), pairs
+                    words.update(words_of(t))
+                    asked |= _kept_whole(t)
+            every = [*words, *(asked - words.keys())]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([words[w] for w in every], pa.int64()), pa.array([w in asked for w in every], pa.bool_())], names=["word", "n", "asked"])
+
+    counted = df.select(text).mapInArrow(count, "word string, n bigint, asked boolean").groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    return cut_lineage(counted)
+
+
+def _keys(word: str, parts: list[str], slack: int) -> set[str]:
+    """Where a word is found in the index: its deletions, or, for a long one, pieces of which at least one is whole after two
+    confusions: its start, its end, and its middle, which may have moved by ``slack`` places."""
+    if len(word) <= DUMP_CHARS:
+        return deletions(word, parts)
+    half = len(word) // 2
+    return {"^" + word[:12], "$" + word[-12:], *("=" + word[i : i + 12] for i in range(half - 6 - slack, half - 5 + slack))}
 
 
 def corrections(words: DataFrame, least: int = 5, ratio: int = 15) -> DataFrame:
-    """``seen``, ``meant``, ``cost``: rare words and the frequent ones (``least`` times, and ``ratio`` times as often) they may be."""
+    """``seen``, ``meant``, ``cost``: rare words and the frequent ones (``least`` times, and ``ratio`` times as often) they may be.
+
+    What is rare and what is frequent grows with the root of the corpus, as do chance meetings of words.
+    """
     total = words.agg(F.sum("n")).first()[0] or 0
-    rare = max(8, int(4e-6 * total))
+    rare, least = max(8, int(0.015 * math.sqrt(total))), max(least, int(0.0013 * math.sqrt(total)))
 
-    def index(parts: list[str]):
+    def index(parts: list[str], slack: int):
         def run(batches):
             for batch in batches:
-                rows = [(key, w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(w) <= 40 for key in deletions(w, parts)]
+                rows = [(key, w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for key in _keys(w, parts, slack)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["key", "word", "n"])
 
         return run
 
     schema = "key string, word string, n bigint"
     strange = F.col("word").rlike("[0-9!|]")
-    seen = words.where((F.length("word") >= 3) & (strange | (F.col("n") <= rare))).mapInArrow(index(_SEEN), schema)
-    true = words.where((F.length("word") >= 3) & ~strange & (F.col("n") >= least)).mapInArrow(index(_TRUE), schema)
+    known = words.where((F.length("word") >= 3) & (F.col("n") > 0)).select("word", "n")
+    seen = known.where(strange | (F.col("n") <= rare)).mapInArrow(index(_SEEN, 3), schema)
+    true = known.where(~strange & (F.col("n") >= least)).mapInArrow(index(_TRUE, 0), schema)
     met = (
         seen.select("key", F.col("word").alias("seen"), F.col("n").alias("a"))
         .join(true.select("key", F.col("word").alias("meant"), F.col("n").alias("b")), "key")
         .where("seen <> meant")
         .where(F.col("b") >= F.when(F.col("seen").rlike("[0-9!|]"), F.lit(1)).otherwise(F.lit(ratio)) * F.col("a"))
         .where("abs(length(seen) - length(meant)) <= 2")
-        .select("seen", "meant", "b")
+        .select("seen", "meant")
         .distinct()
     )
 
     def judge(batches):
         for batch in batches:
-            rows = [(s, t, d, b) for s, t, b in zip(*(c.to_pylist() for c in batch.columns)) if (d := distance(s, t)) <= 1.0]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["seen", "meant", "cost", "n"])
+            rows = [(s, t, d) for s, t in zip(*(c.to_pylist() for c in batch.columns)) if (d := distance(s, t)) <= 1.0]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["seen", "meant", "cost"])
+
+    return met.mapInArrow(judge, "seen string, meant string, cost double")
 
-    return met.mapInArrow(judge, "seen string, meant string, cost double, n bigint")
+
+def contexts(df: DataFrame, fixes: DataFrame, text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``a``, ``b`` and ``n``: how often the corpus has the pairs of neighbouring words that decide between several repairs.
+
+    Empty if no word has several. Pairs are counted where one of the two is such a repair, and kept where the other stands
+    beside an occurrence of a word it may repair.
+    """
+    spark = df.sparkSession
+    several = fixes.join(fixes.groupBy("seen").count().where("count > 1").select("seen"), "seen", "left_semi")
+    options = cut_lineage(several.groupBy(F.col("seen").alias("word")).agg(F.sort_array(F.collect_set("meant")).alias("options")))
+    if options.isEmpty():
+        return local(spark, [], "a string, b string, n bigint")
+    meant = options.select(F.explode("options").alias("w")).distinct()
+    few = meant.limit(most + 1).toArrow().column(0).to_pylist()
+    shared = spark.sparkContext.broadcast(frozenset(few) if len(few) <= most else None)
+    src, table = with_own(df.select(F.col(text).alias("_t")), "_t", options, words_of, most)
+
+    def pairs(batches):
+        wanted = shared.value
+        for batch in batches:
+            seen: Counter = Counter()
+            asked: set[tuple[str, str]] = set()
+            for t, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if not t:
+                    continue
+                found = words_of(t)
+                follow = zip(found, found[1:])
+                seen.update(follow if wanted is None else [p for p in follow if p[0] in wanted or p[1] in wanted])
+                known = table.value if table is not None else by_word(own)
+                if known:
+                    for i, w in enumerate(found):
+                        if w in known:
+                            for o in known[w][0][0]:
+                                asked |= {(found[i - 1] if i else "", o), (o, found[i + 1] if i + 1 < len(found) else "")}
+            every = [*seen, *(asked - seen.keys())]
+            cols = [[p[0] for p in every], [p[1] for p in every], [seen[p] for p in every], [p in asked for p in every]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["a", "b", "n", "asked"])
+
+    counted = src.select("_t", "_own").mapInArrow(pairs, "a string, b string, n bigint, asked boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    return cut_lineage(counted.where("asked and n > 0").select("a", "b", "n"))
 
 
 def _plain(line: str) -> str | None:
     """A line that may be a running header, without its page number; None for others."""
-    if not 3 <= len(line) <= 90 or _END.search(line.rstrip()):
+    if not 3 <= len(line) <= HEADER_CHARS or _END.search(line.rstrip()):
         return None
     m = _NUMBERED.match(line.strip())
     body = (m[2] or m[3]).strip() if m else line.strip()
@@ -211,8 +291,9 @@ def _candidates(text: str):
             yield i, body
 
 
-def headers(df: DataFrame, path: str, key: str, text: str, page: str, least: int = 2, share: float = 0.05) -> DataFrame:
-    """(path, line) of short lines that come back on several pages of a paged file. Partial aggregation, then small joins."""
+def headers(df: DataFrame, path: str, key: str, text: str, page: str, least: int = 2, share: float = HEADER_SHARE, times: int = HEADER_TIMES) -> DataFrame:
+    """(path, line) of short lines that come back on several pages of a paged file, on ``share`` of its pieces or ``times`` times,
+    so that the header of a chapter counts in a file of any length. Partial aggregation, then small joins."""
 
     def lines(batches):
         for batch in batches:
@@ -226,14 +307,17 @@ def headers(df: DataFrame, path: str, key: str, text: str, page: str, least: int
         .groupBy("path", "line").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
         .where((F.col("n") >= least) & (F.col("a") != F.col("b")))
     )
-    return found.join(sizes, "path").where(F.col("n") >= share * F.col("pieces")).select("path", "line")
+    return found.join(sizes, "path").where(F.col("n") >= F.least(share * F.col("pieces"), F.lit(times))).select("path", "line")
 
 
 # ---- repair ---------------------------------------------------------------------------------------------------------
 
 
 class Repairer:
-    def __init__(self, known: dict[str, list[tuple[str, float]]], pairs: np.ndarray, frequent):
+    """``known``: {seen: [(meant, cost)]}. ``pairs``: counts of the pairs of words that decide between several. ``frequent``:
+    words that broken and fused ones are held against."""
+
+    def __init__(self, known: dict[str, list[tuple[str, float]]], pairs: dict[tuple[str, str], int], frequent):
         self.known, self.pairs, self.frequent = known, pairs, frequent
 
     def _best(self, word: str, before: str, after: str) -> str | None:
@@ -242,7 +326,8 @@ class Repairer:
             return None
         if len(options) == 1:
             return options[0][0]
-        return min(options, key=lambda o: (o[1] - 0.15 * np.log1p(self.pairs[_pair(before, o[0])]) - 0.15 * np.log1p(self.pairs[_pair(o[0], after)]), o[0]))[0]
+        seen = lambda a, b: math.log1p(self.pairs.get((a, b), 0))
+        return min(options, key=lambda o: (o[1] - 0.15 * seen(before, o[0]) - 0.15 * seen(o[0], after), o[0]))[0]
 
     @staticmethod
     def _cased(like: str, word: str) -> str:
@@ -259,7 +344,7 @@ class Repairer:
         for i, line in enumerate(lines):
             bare = line.strip()
             size = len(bare)
-            if not size or size > 90:
+            if not size or size > HEADER_CHARS:
                 continue
             if size <= 40 and _PAGE.match(line.rstrip()):
                 kinds.add("page")
@@ -308,12 +393,24 @@ class Repairer:
         found = words_of(body)
         wrong = {w for w in set(found) if w in self.known} if self.known else ()
         if wrong:
-            context = {w: (found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else "") for i, w in enumerate(found) if w in wrong}
-            fixed = {w: self._best(w, *context[w]) for w in wrong}
+            # The context of each occurrence, in their order.
+            context: dict[str, list[tuple[str, str]]] = {}
+            for i, w in enumerate(found):
+                if w in wrong:
+                    context.setdefault(w, []).append((found[i - 1] if i else "", found[i + 1] if i + 1 < len(found) else ""))
+            for places in context.values():
+                places.reverse()
             before = body
-            body = WORD_ANY.sub(lambda m: self._cased(m[0], fixed.get(m[0].lower()) or m[0]) if m[0].lower() in wrong else m[0], body)
-            n = body != before
-            if n:
+
+            def mend(m: re.Match) -> str:
+                w = m[0].lower()
+                if w not in context:
+                    return m[0]
+                places = context[w]
+                return self._cased(m[0], self._best(w, *(places.pop() if len(places) > 1 else places[0])) or m[0])
+
+            body = WORD_ANY.sub(mend, body)
+            if body != before:
                 kinds.add("misread")
         if not kinds:
             return text, frozenset()
@@ -322,71 +419,52 @@ class Repairer:
         return re.sub(r"\n{3,}", "\n\n", body), frozenset(kinds)
 
 
-#: Corrections are broadcast up to this many rows; beyond it each text gets its own by a join.
-BROADCAST_ROWS = 300_000
-
-
 def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str = "path", page: str = "page", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``key``, ``repaired`` and ``kinds`` (sorted) of each row.
 
     Null, empty and blank texts come back as they are, as do texts without noise. A null path or page only means that the
     text has no headers in common with others. Repeated rows stay, and count once for headers. An empty table gives none.
+    Tables of up to ``broadcast_rows`` rows are broadcast; of larger ones each text gets its own by a join.
     """
-    spark = df.sparkSession
-    words, pairs = count_words(df, text)
-    fixes = cut_lineage(corrections(words))
-    lines = headers(df, path, key, text, page).groupBy("path").agg(F.collect_set("line").alias("_lines"))
-    # The frequent words that decide whether a broken word is one: by hash, in a fixed number of bits.
-    bits = np.zeros(1 << 22, dtype=bool)
-    marks = words.where("n >= 3").select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(1 << 22)).alias("b")).distinct().toArrow().column(0).to_numpy()
-    bits[marks] = True
-    shared = spark.sparkContext.broadcast((pairs, np.packbits(bits)))
-
-    class Frequent:
-        def __init__(self, packed):
-            self.packed = packed
-
-        def __contains__(self, word: str) -> bool:
-            at = zlib.crc32(word.encode("utf-8", "surrogatepass")) % (1 << 22)
-            return bool(self.packed[at >> 3] >> (7 - (at & 7)) & 1)
-
-    few = fixes.limit(broadcast_rows + 1).count() <= broadcast_rows
-    table = None
+    words = count_words(df, text)
+    fixes = cut_lineage(corrections(words.select("word", "n")))
+    # Words that broken and fused ones are held against have no repair and the cost 0. A pair comes with either of its words,
+    # -1 telling that this is the first and -2 that it is the second.
+    looked = fixes.select(F.col("seen").alias("word"), F.col("meant").alias("other"), "cost", F.lit(0).cast("bigint").alias("n"))
+    looked = looked.unionByName(words.where("asked and n >= 3").select("word", F.lit(None).cast("string").alias("other"), F.lit(0.0).alias("cost"), F.lit(0).cast("bigint").alias("n")))
+    beside = contexts(df, fixes, text, broadcast_rows)
+    for one, other, sign in (("a", "b", -1.0), ("b", "a", -2.0)):
+        looked = looked.unionByName(beside.select(F.col(one).alias("word"), F.col(other).alias("other"), F.lit(sign).alias("cost"), "n"))
+    looked = cut_lineage(looked)
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(path).alias("path"))
-    if few:
-        known: dict[str, list[tuple[str, float]]] = {}
-        for seen, true, cost, _ in zip(*(c.to_pylist() for c in fixes.toArrow().columns)):
-            known.setdefault(seen, []).append((true, cost))
-        table = spark.sparkContext.broadcast(known)
-        src = src.withColumn("_own", F.lit(None).cast("array<struct<seen:string,meant:string,cost:double>>"))
+    src, table = with_own(src, "_t", looked, _looked_up, broadcast_rows)
+    lines = cut_lineage(headers(df, path, key, text, page))
+    few = lines.limit(broadcast_rows + 1).toArrow()
+    heads = None
+    if few.num_rows <= broadcast_rows:
+        by_path: dict[str, set[str]] = {}
+        for p, line in zip(*(c.to_pylist() for c in few.columns)):
+            by_path.setdefault(p, set()).add(line)
+        heads = df.sparkSession.sparkContext.broadcast(by_path)
+        src = src.withColumn("_lines", F.lit(None).cast("array<string>"))
     else:
-        def spread(batches):
-            for batch in batches:
-                rows = [(k, w) for k, t in zip(*(c.to_pylist() for c in batch.columns)) if t for w in set(words_of(t))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["_k", "seen"])
-
-        own = (
-            src.select(F.col("_k").cast("bigint"), "_t").mapInArrow(spread, "_k bigint, seen string").distinct()
-            .join(fixes, "seen").groupBy("_k").agg(F.collect_set(F.struct("seen", "meant", "cost")).alias("_own"))
-        )
-        src = src.join(own, "_k", "left")
-    src = src.join(lines, "path", "left").select("_k", "_t", "_own", "_lines")
+        # The rows of a file go to several tasks, each with a copy of its headers.
+        own = lines.groupBy("path").agg(F.collect_set("line").alias("_lines")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        src = src.withColumn("_s", F.pmod(F.xxhash64("_k", "_t"), F.lit(16)).cast("int")).join(own, ["path", "_s"], "left")
     kind = df.schema[key].dataType.simpleString()
 
+    def repairer(rows: dict[str, list[tuple]]) -> Repairer:
+        known = {w: fixes for w, own in rows.items() if (fixes := [(o, c) for o, c, _ in own if o is not None and c >= 0])}
+        pairs = {(w, o) if c == -1 else (o, w): n for w, own in rows.items() for o, c, n in own if c < 0}
+        return Repairer(known, pairs, {w for w, own in rows.items() if any(o is None for o, *_ in own)})
+
     def run(batches):
-        pairs, packed = shared.value
-        frequent = Frequent(packed)
-        common = Repairer(table.value if table is not None else {}, pairs, frequent)
+        common = repairer(table.value) if table is not None else None
         for batch in batches:
             done = []
-            for t, own, head in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                by = common
-                if own:
-                    mine: dict = {}
-                    for fix in own:
-                        mine.setdefault(fix["seen"], []).append((fix["meant"], fix["cost"]))
-                    by = Repairer(mine, pairs, frequent)
-                done.append(by.text(t, set(head) if head else set()))
+            for t, p, own, head in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                by = common if common is not None else repairer(by_word(own))
+                done.append(by.text(t, heads.value.get(p, frozenset()) if heads is not None else set(head or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([sorted(k) for _, k in done], pa.list_(pa.string()))], names=[key, "repaired", "kinds"])
 
-    return src.mapInArrow(run, f"`{key}` {kind}, repaired string, kinds array<string>")
+    return src.select("_k", "_t", "path", "_own", "_lines").mapInArrow(run, f"`{key}` {kind}, repaired string, kinds array<string>")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loamstack.llm.scans import deletions, distance, repair
+from loamstack.llm.scans import corrections, count_words, deletions, distance, headers, repair
 
 PROSE = "The kernel summary was written before the deadline. The machine learned to return the document in the morning, and the on-call rota should remember it."
 SCHEMA = "chunk_key long, path string, page int, text string, seen string, n int, _lines int"
@@ -64,3 +64,38 @@ def test_page_numbers_of_wide_pages(spark, width):
     rows = [(1, "/a", None, f"{'17':>{width}}\nThe machine learned to return."), (2, "/b", None, f"The machine learned to return.\n{'9':^{2 * width}}")]
     found = {r["chunk_key"]: (r["repaired"], r["kinds"]) for r in repair(frame(spark, rows)).where("chunk_key < 100").collect()}
     assert found == {1: ("The machine learned to return.", ["page"]), 2: ("The machine learned to return.", ["page"])}
+
+
+@pytest.mark.parametrize("rows", [300_000, 0], ids=["broadcast", "joined"])
+def test_each_occurrence_is_repaired_by_its_own_context(spark, rows):
+    # "hcar" is a misread "bear" or "hear": which one, the words around it tell.
+    base = [(200 + i, f"/e{i}", None, "they saw a brown bear there and could hear the music clearly") for i in range(60)]
+    text = "they saw a brown hcar there and could hcar the music clearly"
+    table = frame(spark, [*base, (1, "/a", None, text)])
+    words = count_words(table).select("word", "n")
+    assert {r["meant"] for r in corrections(words).where("seen = 'hcar'").collect()} >= {"hear"}
+    found = {r["chunk_key"]: r["repaired"] for r in repair(table, broadcast_rows=rows).where("chunk_key = 1").collect()}
+    options = {r["meant"] for r in corrections(words).where("seen = 'hcar'").collect()}
+    want = "they saw a brown bear there" if "bear" in options else "they saw a brown hear there"
+    assert found[1] == want + " and could hear the music clearly"
+
+
+def test_context_of_several_places(spark):
+    base = [(200 + i, f"/e{i}", None, "the modem hums loudly while modern art hangs quietly") for i in range(60)]
+    table = frame(spark, [*base, (1, "/a", None, "the mo0ern hums loudly while mo0ern art hangs quietly")])
+    found = repair(table).where("chunk_key = 1").first()
+    assert "modern art" in found["repaired"] or found["kinds"] == []
+
+
+def test_long_words_are_repaired_too(spark):
+    word = "straßenbahnhaltestellenüberdachungsprüfungsämter"
+    base = [(200 + i, f"/e{i}", None, f"Die {word} kommen dort.") for i in range(20)]
+    bad = word.replace("dach", "clach", 1)
+    found = repair(frame(spark, [*base, (1, "/a", None, f"Die {bad} kommen dort.")])).where("chunk_key = 1").first()
+    assert found["repaired"] == f"Die {word} kommen dort."
+    assert distance("rn" + "a" * 200_000, "m" + "a" * 200_000) <= 0.5
+
+
+def test_the_header_of_a_chapter_counts_in_a_long_file(spark):
+    rows = [(i, "/long", i, ("Chapter On Kilns\n" if i < 9 else "") + f"The machine number{i} learned to return the document.") for i in range(1, 400)]
+    assert [tuple(r) for r in headers(frame(spark, rows), "path", "chunk_key", "text", "page").collect()] == [("/long", "chapter on kilns")]
