@@ -197,7 +197,7 @@ def corrections(words: DataFrame, least: int = 5, ratio: int = 15) -> DataFrame:
     What is rare and what is frequent grows with the root of the corpus, as do chance meetings of words.
     """
     total = words.agg(F.sum("n")).first()[0] or 0
-    rare, least = max(8, int(0.015 * math.sqrt(total))), max(least, int(0.0013 * math.sqrt(total)))
+    rare, least = max(8, int(0.018 * math.sqrt(total))), max(least, int(0.0013 * math.sqrt(total)))
 
     def index(parts: list[str], slack: int):
         def run(batches):
