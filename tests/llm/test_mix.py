@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from loamstack.llm.mix import Params, make_plan, mix, shards, shares, split_tree
+from loamstack.llm.mix import Params, cut_again, deal, make_plan, mix, shards, shares, split_tree
 from loamstack.llm.tokenize import RANKS, TOKENIZERS
 
 pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(TOKENIZERS, RANKS)), reason="no vocabulary here")
@@ -66,3 +66,27 @@ def test_plan_keeps_to_quota():
     assert plan.quota == {"a": 20.0, "b": 20.0}
     assert plan.cut == [("a", plan.cut[0][1], 20)] and {u for s, _, u in plan.uses if s == "b"} == {2}
     assert make_plan({}, {"a": (1.0, 1)}, Params()).uses == []
+
+
+def test_cut_blocks_are_cut_again_and_dealt_by_the_tree():
+    sizes = {"a": {b: 100 for b in range(50)}, "b": {0: 1_000}}
+    p = Params(shards=4)
+    plan = make_plan(sizes, {"a": (0.5, 1), "b": (0.5, 4)}, Params(shards=4, total=2_130))
+    assert plan.quota == {"a": 1_065.0, "b": 1_065.0} and len(plan.cut) == 2
+    cut_again(plan, {(s, b): {i: 10 for i in range(sizes[s][b] // 10)} for s, b, _ in plan.cut}, p)
+    assert sum(s == "a" for s, *_ in plan.whole) == 6 and [x[3] for x in plan.last] == [5, 5]
+    units = deal(plan, p)
+    assert len(units) == len(set(units)) == 10 + 1 + 6 + 6 + 2
+    shards_of = {}
+    for s, b, part, copy, shard in units:
+        assert shards_of.setdefault((s, b, part, copy), shard) == shard
+    with pytest.raises(ValueError):
+        deal(plan, Params(units=5))
+
+
+def test_shares_are_exact_to_a_record(spark):
+    big = spark.range(20_000).selectExpr("id doc_id", "repeat('word ', 3 + cast(id % 5 as int)) text", "'big' source")
+    few = spark.range(200).selectExpr("id + 50000 doc_id", "'word word word word' text", "'few' source")
+    want = spark.createDataFrame([("big", 0.9, 1), ("few", 0.1, 3)], "source string, target_share double, max_repeats int")
+    rows = {r["source"]: r for r in shares(big.unionByName(few), want, p=Params(blocks=64, parts=8, total=20_000)).collect()}
+    assert 0 <= 18_000 - rows["big"]["tokens"] < 8 and 0 <= 2_000 - rows["few"]["tokens"] < 8
