@@ -1,9 +1,13 @@
 """Cutting oversized texts: properties, and ranges against whole texts."""
 
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamstack.llm.split import LIMIT, OVERLAP, WHITE_SPACE, _pieces, split_oversized, split_tables
+from loamstack.llm import split
+from loamstack.llm.split import LIMIT, OVERLAP, WHITE_SPACE, _pieces, split_files, split_oversized, split_tables
 
 ALPHABET = st.sampled_from(list("abc dé.\n! \r\t　😀") + ["word ", "\n\n", ". ", "x" * 40])
 
@@ -60,3 +64,44 @@ def test_tables(spark):
     found = split_tables(sections, chunks).collect()
     assert {(r["item_kind"], r["item_id"], r["page"]) for r in found} == {("section", 1, 2), ("chunk", 1, None)}
     assert len(found) == 4
+
+
+def giant():
+    rng = random.Random(3)
+    words = ["wort", "größer", "été", "猫", "a", "naïve", "x" * 1_400, "end.", "stop!\n", "\n\n", "\u2003", "𝒳y"]
+    return "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ""]) for _ in range(4_000))
+
+
+@pytest.mark.parametrize("size", [700, 4_096])
+def test_files_by_byte_ranges_give_what_the_direct_way_gives(spark, tmp_path, size):
+    texts = {"a.txt": "  \n " * 900 + giant() + " \n" * 700, "b.txt": "short", "c.txt": "word " * 300, "d.txt": "", "e.txt": "\u3000" * 3_000}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    found = {}
+    for r in split_files(spark, str(tmp_path), range_bytes=size).collect():
+        found.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["ordinal"], r["start"], r["length"], r["piece"]))
+    assert set(found) == {"a.txt", "c.txt"}
+    for name, rows in found.items():
+        body = texts[name].strip(WHITE_SPACE)
+        want = [(i, a, b - a, body[a:b]) for i, (a, b) in enumerate(_pieces(body, 0, len(body), len(body), 1_000, 120))]
+        assert sorted(rows) == want
+
+
+def test_tables_are_stitched_in_a_tree(spark, monkeypatch):
+    # Three levels of blocks of four ranges.
+    monkeypatch.setattr(split, "FAN", 4)
+    text = giant()[:60_000]
+    made = [(7, i, *split._table(text, 0, at, min(at + 1_200, len(text)), len(text), 1_000, 120)) for i, at in enumerate(range(0, len(text), 1_200))]
+    tables = spark.createDataFrame([(a, b, c, d.tolist(), e.tolist()) for a, b, c, d, e in made], split._TABLES)
+    rows = {r["_range"]: (r["_entry"], r["_ordinal"]) for r in split._stitched(tables, 3).collect()}
+    starts = [a for a, _ in _pieces(text, 0, len(text), len(text), 1_000, 120)]
+    want = {}
+    for i, a in enumerate(starts):
+        want.setdefault(a // 1_200, (a, i))
+    assert rows == want
+
+
+def test_repeated_rows_with_null_keys_count_once(spark):
+    rows = [(None, "x " * 900, None), (None, "x " * 900, None), (1, "y " * 900, "p"), (1, "y " * 900, "p"), (1, "z " * 900, "p")]
+    df = spark.createDataFrame(rows, "id long, text string, path string")
+    assert split_oversized(df, ["id", "path"]).where("ordinal = 0").count() == 3
