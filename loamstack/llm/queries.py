@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.io import table
-from loamstack.llm import encoding, markup, mix, neighbours, quality, scans, split, terms, tokenize
+from loamstack.llm import boilerplate, encoding, markup, mix, neighbours, quality, scans, split, terms, tokenize
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +50,10 @@ def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.clean_texts(table(spark, folder, "chunks", "chunk_key", "text")).distinct()
 
 
+def p6_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.remove(table(spark, folder, "chunks", "chunk_key", "path", "text").distinct())
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repair(table(spark, folder, "chunks", "chunk_key", "text", "path", "page")).where(F.size("kinds") > 0).select("chunk_key").distinct()
 
@@ -88,4 +92,4 @@ def p10_simple(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", *(F.round(c, 9).alias(c) for c in ("log_words", "mean_word_len", "symbol_ratio", "punct_lines")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats, p10_simple)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p6_boilerplate, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats, p10_simple)}
