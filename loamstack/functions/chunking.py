@@ -16,14 +16,14 @@ TARGET = 1_000
 OVERLAP = 120
 LEAST = 8
 
-_WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PARAGRAPH = re.compile(r"\n\n|\r\n\r\n")
-_BLANK = re.compile(f"[{_WHITE}]+")
+_BLANK = re.compile(f"[{WHITE}]+")
 
 
 def paragraphs(text: str) -> list[str]:
     """What lies between blank lines, stripped, without empty ones."""
-    return [p for p in (part.strip(_WHITE) for part in _PARAGRAPH.split(text)) if p]
+    return [p for p in (part.strip(WHITE) for part in _PARAGRAPH.split(text)) if p]
 
 
 def tail(text: str, n: int) -> str:
@@ -41,10 +41,10 @@ def sentence_windows(text: str, target: int = TARGET) -> Iterator[str]:
     while len(text) - at > target:
         stop = text.rfind(". ", at, at + target)
         end = stop + 1 if stop >= 0 else at + target
-        if piece := text[at:end].strip(_WHITE):
+        if piece := text[at:end].strip(WHITE):
             yield piece
         at = end
-    if piece := text[at:].strip(_WHITE):
+    if piece := text[at:].strip(WHITE):
         yield piece
 
 
@@ -53,7 +53,7 @@ def _packed(text: str, target: int, overlap: int) -> Iterator[str]:
     for para in paragraphs(text):
         oversized = len(para) > target
         if held and (oversized or len(held) + len(para) + 1 > target):
-            done = held.strip(_WHITE)
+            done = held.strip(WHITE)
             if done:
                 yield done
             carried = "" if oversized else tail(done, overlap)
@@ -62,7 +62,7 @@ def _packed(text: str, target: int, overlap: int) -> Iterator[str]:
             yield from sentence_windows(para, target)
         else:
             held += f"{para}\n"
-    if last := held.strip(_WHITE):
+    if last := held.strip(WHITE):
         yield last
 
 
