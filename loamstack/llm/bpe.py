@@ -210,7 +210,7 @@ class StreamDecoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
-        return "".join(self.state.decode(self.tokens[i]) for i in ids)
+        return self.state.decode(b"".join(map(self.tokens.__getitem__, ids)))
 
     def close(self) -> str:
         return self.state.decode(b"", final=True)

@@ -17,6 +17,7 @@ _LETTER = "[\\p{L}\\p{Nl}\\p{No}]"
 _END = "[.!?…”\"»。！？]"
 
 SQL: dict[str, str] = {
+    "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p10_simple": f"""
 WITH seen AS (SELECT doc_id, text, regexp_replace(text, '{_GAP}', '', 'g') AS v FROM documents WHERE text IS NOT NULL),
 parts AS (

@@ -66,6 +66,11 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.encode(table(spark, folder, "documents"))
 
 
+def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """What decoding makes of the ids of every document."""
+    return tokenize.decode(tokenize.encode(table(spark, folder, "documents")))
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
 
@@ -92,4 +97,4 @@ def p10_simple(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", *(F.round(c, 9).alias(c) for c in ("log_words", "mean_word_len", "symbol_ratio", "punct_lines")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p6_boilerplate, p7_found, p7_repaired, p8_ids, p9_mix, p9_shares, p9_shards, p10_found, p10_stats, p10_simple)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_pieces, p3_found, p3_log_entropy, p5_found, p5_restored, p6_found, p6_clean, p6_boilerplate, p7_found, p7_repaired, p8_ids, p8_round_trip, p9_mix, p9_shares, p9_shards, p10_found, p10_stats, p10_simple)}

@@ -3,11 +3,12 @@
 import os
 
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamstack.llm.bpe import Encoder, StreamDecoder
-from loamstack.llm.tokenize import TOKENIZERS, count_tokens, encode
+from loamstack.llm.bpe import SPLIT, Encoder, StreamDecoder, read_ranks
+from loamstack.llm.tokenize import TOKENIZERS, count_tokens, decode, encode
 
 RANKS = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary here")
@@ -62,3 +63,27 @@ def test_rows(spark, reference):
     assert sorted(found, key=str) == sorted([(k, reference(t or "")) for k, t in rows], key=str)
     assert sorted(r["n_tokens"] for r in count_tokens(df, keep=("source",)).collect()) == [0, 0, 1, 2, 2]
     assert encode(df.limit(0)).count() == 0
+
+
+NAMES = ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_other_vocabularies(spark, name):
+    if not os.path.exists(os.path.join(TOKENIZERS, name)):
+        pytest.skip("no such vocabulary here")
+    texts = ["Hello <|endoftext|> world", "Größe été 猫 𝒳", None, "", "  a  b\n"]
+    rows = [r["ids"] for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks=name).orderBy("doc_id").collect()]
+    assert rows[2] == rows[3] == [] and all(rows[i] for i in (0, 1, 4))
+    if name.endswith(".tiktoken"):
+        own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=read_ranks(os.path.join(TOKENIZERS, name)), special_tokens={})
+        assert rows == [own.encode_ordinary(t or "") for t in texts]
+    elif name == "byte_bpe_50k.json":
+        assert rows == [r["ids"] for r in encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_decoding(spark):
+    texts = ["Größe été 猫 𝒳 " * 50, "", "a\x00b"]
+    coded = encode(spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string"))
+    assert [r["text"] for r in decode(coded).orderBy("doc_id").collect()] == [*texts, ""]
+    assert decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first()["text"] is None
