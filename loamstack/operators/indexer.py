@@ -119,6 +119,7 @@ def index_directory(
     extractors = list(extractors)
     if not store.schema_matches():
         raise RuntimeError("the store has another schema version; rebuild it in a new folder")
+    store.repair()
     if remote := "://" in root:
         scan = cut_lineage(corpus.listed(store.spark, root, extensions))
     else:
