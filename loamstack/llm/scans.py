@@ -138,15 +138,24 @@ def distance(seen: str, true: str, limit: float = 1.0) -> float:
 # ---- corpus tables --------------------------------------------------------------------------------------------------
 
 
+def _has_hyphens(text: str) -> bool:
+    """Whether a hyphen of any kind may end a line; single signs are sought much faster than a class of them."""
+    return ("-\n" in text or "- \n" in text or "‐" in text or "¬" in text or "\xad" in text) and _HYPHENS.search(text) is not None
+
+
+def _has_fused(text: str) -> bool:
+    return not text.isascii() and any(sign in text for sign in _LIGATURE)
+
+
 def _kept_whole(text: str) -> set[str]:
     """Words that a repair of breaks and ligatures asks for: whether the corpus has them decides how they are joined."""
     out: set[str] = set()
-    if _HYPHENS.search(text):
+    if _has_hyphens(text):
         for a, _, b in _BREAK.findall(text):
             out |= {(a + b).lower(), a.lower(), b.lower()}
     if "\xad" in text:
         out |= {m[0].replace("\xad", "").lower() for m in _SOFT.finditer(text)}
-    if _FUSED.search(text):
+    if _has_fused(text):
         out |= {_FUSED.sub(lambda x: _LIGATURE[x[0]], w).lower() for w in _LETTERS.findall(text) if _FUSED.search(w)}
     return out
 
@@ -227,7 +236,27 @@ def corrections(words: DataFrame, least: int = 5, ratio: int = 15) -> DataFrame:
             rows = [(s, t, d) for s, t in zip(*(c.to_pylist() for c in batch.columns)) if (d := distance(s, t)) <= 1.0]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["seen", "meant", "cost"])
 
-    return met.mapInArrow(judge, "seen string, meant string, cost double")
+    found = cut_lineage(met.mapInArrow(judge, "seen string, meant string, cost double"))
+    # A repair that is itself a misread word leads on to what that one stands for.
+    on = found.select(F.col("seen").alias("meant"), F.col("meant").alias("_on"), F.col("cost").alias("_more"))
+    led = found.join(on, "meant", "left").select("seen", F.coalesce("_on", "meant").alias("meant"), (F.col("cost") + F.coalesce("_more", F.lit(0.0))).alias("cost"))
+    return led.where("seen <> meant").groupBy("seen", "meant").agg(F.min("cost").alias("cost"))
+
+
+#: Words up to which a text is first searched for them; a matter of speed alone.
+HINTED = 64
+
+
+def _stands_in(text: str, words: list[str]) -> bool:
+    """Whether one of the words stands in the text with no letter beside it."""
+    for word in words:
+        at = text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not text[at - 1 : at].isalpha() and not text[end : end + 1].isalpha():
+                return True
+            at = text.find(word, at + 1)
+    return False
 
 
 def contexts(df: DataFrame, fixes: DataFrame, text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -247,18 +276,22 @@ def contexts(df: DataFrame, fixes: DataFrame, text: str = "text", most: int = BR
     src, table = with_own(df.select(F.col(text).alias("_t")), "_t", options, words_of, most)
 
     def pairs(batches):
-        wanted = shared.value
+        wanted, hint = shared.value, None
+        if wanted is not None and table is not None and len(wanted) + len(table.value) <= HINTED:
+            # Few words are sought in the text before it is taken apart, which most texts then need not be.
+            hint = sorted({*wanted, *table.value})
         for batch in batches:
             seen: Counter = Counter()
             asked: set[tuple[str, str]] = set()
             for t, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if not t:
+                if not t or hint is not None and not _stands_in(t.lower(), hint):
                     continue
                 found = words_of(t)
-                follow = zip(found, found[1:])
-                seen.update(follow if wanted is None else [p for p in follow if p[0] in wanted or p[1] in wanted])
+                if wanted is None or not wanted.isdisjoint(found):
+                    follow = zip(found, found[1:])
+                    seen.update(follow if wanted is None else [p for p in follow if p[0] in wanted or p[1] in wanted])
                 known = table.value if table is not None else by_word(own)
-                if known:
+                if not known.keys().isdisjoint(found):
                     for i, w in enumerate(found):
                         if w in known:
                             for o in known[w][0][0]:
@@ -361,7 +394,7 @@ class Repairer:
                 kinds.add("header")
                 drop.add(i)
         body = "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text
-        if _FUSED.search(body):
+        if _has_fused(body):
 
             def part(m: re.Match) -> str:
                 whole = _FUSED.sub(lambda x: _LIGATURE[x[0]], m[0])
@@ -383,7 +416,7 @@ class Repairer:
             kinds.add("break")
             return a + b
 
-        if _HYPHENS.search(body):
+        if _has_hyphens(body):
             body = _BREAK.sub(rejoin, body)
         end = body.rstrip()[-2:]
         if len(end) == 2 and end[1] in "‐¬\xad" and end[0].isalpha():

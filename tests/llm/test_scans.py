@@ -2,7 +2,8 @@
 
 import pytest
 
-from loamstack.llm.scans import corrections, count_words, deletions, distance, headers, repair
+from loamstack.llm import scans
+from loamstack.llm.scans import contexts, corrections, count_words, deletions, distance, headers, repair
 
 PROSE = "The kernel summary was written before the deadline. The machine learned to return the document in the morning, and the on-call rota should remember it."
 SCHEMA = "chunk_key long, path string, page int, text string, seen string, n int, _lines int"
@@ -99,3 +100,18 @@ def test_long_words_are_repaired_too(spark):
 def test_the_header_of_a_chapter_counts_in_a_long_file(spark):
     rows = [(i, "/long", i, ("Chapter On Kilns\n" if i < 9 else "") + f"The machine number{i} learned to return the document.") for i in range(1, 400)]
     assert [tuple(r) for r in headers(frame(spark, rows), "path", "chunk_key", "text", "page").collect()] == [("/long", "chapter on kilns")]
+
+
+def test_seeking_words_first_changes_nothing(spark, monkeypatch):
+    base = [(200 + i, f"/e{i}", None, "the modem hums loudly while modern art hangs quietly; they lease or least") for i in range(40)]
+    table = frame(spark, [*base, (1, "/a", None, "a modem 1ease,leasf hums"), (2, "/a", None, "the mo0ern art")])
+    fixes = corrections(count_words(table).select("word", "n"))
+    one = sorted(map(tuple, contexts(table, fixes).collect()))
+    monkeypatch.setattr(scans, "HINTED", -1)
+    assert sorted(map(tuple, contexts(table, fixes).collect())) == one
+
+
+def test_a_repair_that_is_misread_itself_leads_on(spark):
+    base = [(200 + i, f"/e{i}", None, "nobody comes without a folder") for i in range(120)] + [(400 + i, f"/f{i}", None, "nobody comes witliout a folder") for i in range(6)]
+    table = frame(spark, [*base, (1, "/a", None, "nobody comes wit1iout a folder")])
+    assert [tuple(r)[:2] for r in corrections(count_words(table).select("word", "n")).where("seen = 'wit1iout'").collect()] == [("wit1iout", "without")]
