@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,14 @@ _PAGE = re.compile(
 _BARE = re.compile(r"^\d{1,4}$")
 _NUMBERED = re.compile(r"^(?:(\d{1,4}) {3,}(\S.{1,70})|(\S.{1,70}?) {3,}(\d{1,4}))$")
 _END = re.compile(r"[.!?:;,…”\"»)\]}>|*_`]$")
+# For RE2, which goes through whole texts: what any text has that `_kept_whole` or a repair of breaks and ligatures looks at, and
+# that and any line that may be a page number or have one beside it. They may find too much, but never too little.
+_WHITE = r"\t\x0b-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_JOINED = "- ?\n|[‐¬\xad" + "".join(_LIGATURE) + "]"
+_TRACE = (
+    _JOINED + r"|\p{Nd}   |   \p{Nd}|(?:^|\n)[" + _WHITE + r"]*(?:(?:Page|Seite|Página|Pagina|page|seite|S\.|p\.|pp\.|P\.)[" + _WHITE + r"]?\p{Nd}"
+    r"|[-–—] ?\p{Nd}{1,4} ?[-–—]|\p{Nd}{1,4} \||\[\p{Nd}{1,4}\]|(?:\p{Nd}{1,4}(?:/\p{Nd}{1,4})?|[ivxl]+)[" + _WHITE + r"]*(?:\n|$))"
+)
 #: Parameter: letters and digits without a border, longer than this, are a dump and no misread word.
 DUMP_CHARS = 40
 #: Parameters of a running header: the longest line that may be one, and on how many pieces of its file it must come back:
@@ -95,6 +105,67 @@ def words_of(text: str) -> list[str]:
     return list(chain.from_iterable(map(_words.__getitem__, text.lower().split())))
 
 
+#: Bytes of text that are taken apart at once; a matter of memory alone.
+SLICE_BYTES = 8_000_000
+
+
+def _slices(batch: pa.RecordBatch, text: int = 0):
+    """The batch in parts of some ``SLICE_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+class Pieces:
+    """Texts cut at ASCII white space. A word never goes beyond such a piece, so each distinct one is looked at once.
+
+    ``words``: those of each distinct piece; ``codes``: the pieces of the texts, one after the other, as places in it.
+    """
+
+    def __init__(self, texts: pa.Array):
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        self.starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        pieces = cut.flatten().dictionary_encode()
+        self.codes = pieces.indices.to_numpy()
+        self.words = [words_of(p) for p in pieces.dictionary.to_pylist()]
+
+    def counts(self) -> dict[str, int]:
+        """How often the texts have each word."""
+        out: dict[str, int] = {}
+        for words, n in zip(self.words, np.bincount(self.codes, minlength=len(self.words)).tolist()):
+            for w in words:
+                out[w] = out.get(w, 0) + n
+        return out
+
+    def having(self, wanted) -> np.ndarray:
+        """Places of the texts that have one of the words, in order."""
+        has = np.fromiter((not wanted.isdisjoint(words) for words in self.words), bool, len(self.words))
+        return np.unique(np.searchsorted(self.starts, np.flatnonzero(has[self.codes]), side="right") - 1)
+
+    def pairs(self, wanted) -> dict[tuple[str, str], int]:
+        """How often the texts have each pair of neighbouring words of which one is wanted (None: any pair)."""
+        place: dict[str, int] = {}
+        flat = np.array([place.setdefault(w, len(place)) for words in self.words for w in words], np.int32)
+        n = np.fromiter(map(len, self.words), np.int32, len(self.words))
+        first = np.cumsum(n, dtype=np.int32) - n
+        each = n[self.codes]
+        upto = np.cumsum(each, dtype=np.int32)
+        ids = flat[np.repeat(first[self.codes] - (upto - each), each) + np.arange(upto[-1], dtype=np.int32)]
+        # Two words in a row are neighbours unless a text ends between them.
+        inside = np.ones(max(0, len(ids) - 1), bool)
+        ends = upto[self.starts[1:-1] - 1]
+        inside[ends[(ends > 0) & (ends < len(ids))] - 1] = False
+        if wanted is not None:
+            is_wanted = np.fromiter((w in wanted for w in place), bool, len(place))[ids]
+            inside &= is_wanted[1:] | is_wanted[:-1]
+        found, times = np.unique(ids[:-1][inside].astype(np.int64) * len(place) + ids[1:][inside], return_counts=True)
+        every = list(place)
+        return {(every[f // len(every)], every[f % len(every)]): t for f, t in zip(found.tolist(), times.tolist())}
+
+
 def deletions(word: str, parts: list[str], most: int = 2) -> set[str]:
     """The word with up to ``most`` of the parts deleted, one after the other from the left."""
     found = {word}
@@ -172,23 +243,44 @@ def _looked_up(text: str) -> set[str]:
     return out
 
 
-def count_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """``word``, ``n`` and ``asked``: how often the corpus has each word, and whether a broken or fused word asks for it.
+def gather(df: DataFrame, text: str = "text", path: str | None = None, key: str | None = None) -> DataFrame:
+    """What one pass over the texts tells, in one table: words (``word``, ``n`` and ``asked``; ``path`` is null), and of files the
+    lines that may be running headers (``path``, ``word``, in how many rows ``n``, and the least and greatest key, ``a`` and ``b``).
     Tasks add up their own first."""
+    schema = "path string, word string, n bigint, asked boolean, a bigint, b bigint"
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
 
     def count(batches):
         for batch in batches:
             words: Counter = Counter()
             asked: set[str] = set()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    words.update(words_of(t))
+            lines: dict[tuple[str, str], list] = {}
+            for part in _slices(batch):
+                texts = part.column(0)
+                words.update(Pieces(texts).counts())
+                for t in texts.filter(pc.match_substring_regex(texts, _JOINED)).to_pylist():
                     asked |= _kept_whole(t)
+                if path is None:
+                    continue
+                for t, p, k in zip(*(c.to_pylist() for c in part.filter(pc.and_(pc.match_substring(texts, "\n"), pc.is_valid(part.column(1)))).columns)):
+                    for line in {b for _, b in _candidates(t)}:
+                        of = lines.setdefault((p, line), [0, k, k])
+                        of[0] += 1
+                        if k is not None:
+                            of[1:] = (k, k) if of[1] is None else (min(of[1], k), max(of[2], k))
             every = [*words, *(asked - words.keys())]
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([words[w] for w in every], pa.int64()), pa.array([w in asked for w in every], pa.bool_())], names=["word", "n", "asked"])
+            rows = [(None, w, words[w], w in asked, None, None) for w in every]
+            rows += [(p, line, n, False, a, b) for (p, line), (n, a, b) in lines.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["path", "word", "n", "asked", "a", "b"])
+
+    src = df.select(F.col(text).alias("_t"), *([F.col(path).alias("_p"), F.col(key).cast("bigint").alias("_k")] if path else []))
+    told = src.mapInArrow(count, schema).groupBy("path", "word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return cut_lineage(told)
+
 
-    counted = df.select(text).mapInArrow(count, "word string, n bigint, asked boolean").groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    return cut_lineage(counted)
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """``word``, ``n`` and ``asked``: how often the corpus has each word, and whether a broken or fused word asks for it."""
+    return gather(df, text).where("path is null").select("word", "n", "asked")
 
 
 def _keys(word: str, parts: list[str], slack: int) -> set[str]:
@@ -283,15 +375,19 @@ def contexts(df: DataFrame, fixes: DataFrame, text: str = "text", most: int = BR
         for batch in batches:
             seen: Counter = Counter()
             asked: set[tuple[str, str]] = set()
-            for t, own in zip(*(c.to_pylist() for c in batch.columns)):
-                if not t or hint is not None and not _stands_in(t.lower(), hint):
+            for part in _slices(batch):
+                if hint is not None:
+                    part = part.filter(pa.array([bool(t) and _stands_in(t.lower(), hint) for t in part.column(0).to_pylist()], pa.bool_()))
+                texts = part.column(0)
+                if not len(texts):
                     continue
-                found = words_of(t)
-                if wanted is None or not wanted.isdisjoint(found):
-                    follow = zip(found, found[1:])
-                    seen.update(follow if wanted is None else [p for p in follow if p[0] in wanted or p[1] in wanted])
-                known = table.value if table is not None else by_word(own)
-                if not known.keys().isdisjoint(found):
+                pieces = Pieces(texts)
+                seen.update(pieces.pairs(wanted))
+                at = pieces.having(table.value.keys()) if table is not None else np.flatnonzero(pc.is_valid(part.column(1)).to_numpy(zero_copy_only=False))
+                own = part.column(1).take(pa.array(at)).to_pylist() if table is None else [None] * len(at)
+                for t, rows in zip(texts.take(pa.array(at)).to_pylist(), own):
+                    known = table.value if table is not None else by_word(rows)
+                    found = words_of(t or "")
                     for i, w in enumerate(found):
                         if w in known:
                             for o in known[w][0][0]:
@@ -300,7 +396,7 @@ def contexts(df: DataFrame, fixes: DataFrame, text: str = "text", most: int = BR
             cols = [[p[0] for p in every], [p[1] for p in every], [seen[p] for p in every], [p in asked for p in every]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["a", "b", "n", "asked"])
 
-    counted = src.select("_t", "_own").mapInArrow(pairs, "a string, b string, n bigint, asked boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    counted = src.select("_t", *["_own"][: table is None]).mapInArrow(pairs, "a string, b string, n bigint, asked boolean").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     return cut_lineage(counted.where("asked and n > 0").select("a", "b", "n"))
 
 
@@ -324,22 +420,14 @@ def _candidates(text: str):
             yield i, body
 
 
-def headers(df: DataFrame, path: str, key: str, text: str, page: str, least: int = 2, share: float = HEADER_SHARE, times: int = HEADER_TIMES) -> DataFrame:
+def headers(df: DataFrame, path: str, key: str, text: str, page: str, least: int = 2, share: float = HEADER_SHARE, times: int = HEADER_TIMES, gathered: DataFrame | None = None) -> DataFrame:
     """(path, line) of short lines that come back on several pages of a paged file, on ``share`` of its pieces or ``times`` times,
-    so that the header of a chapter counts in a file of any length. Partial aggregation, then small joins."""
-
-    def lines(batches):
-        for batch in batches:
-            rows = [(p, k, b) for p, k, t in zip(*(c.to_pylist() for c in batch.columns)) if t and "\n" in t for b in {b for _, b in _candidates(t)}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["path", "k", "line"])
-
-    src = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(key).cast("bigint").alias("k"), F.col(text).alias("text"), F.col(page).alias("page"))
+    so that the header of a chapter counts in a file of any length. Partial aggregation, then small joins. ``gathered``: what
+    ``gather`` told of the table, if it is at hand."""
+    lines = gathered if gathered is not None else gather(df, text, path, key)
+    src = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(page).alias("page"))
     sizes = src.groupBy("path").agg(F.count("*").alias("pieces"), F.max(F.col("page").isNotNull()).alias("paged")).where("paged")
-    found = (
-        src.select("path", "k", "text").mapInArrow(lines, "path string, k bigint, line string")
-        .groupBy("path", "line").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
-        .where((F.col("n") >= least) & (F.col("a") != F.col("b")))
-    )
+    found = lines.where(F.col("path").isNotNull() & (F.col("n") >= least) & (F.col("a") != F.col("b"))).select("path", F.col("word").alias("line"), "n")
     return found.join(sizes, "path").where(F.col("n") >= F.least(share * F.col("pieces"), F.lit(times))).select("path", "line")
 
 
@@ -452,14 +540,10 @@ class Repairer:
         return re.sub(r"\n{3,}", "\n\n", body), frozenset(kinds)
 
 
-def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str = "path", page: str = "page", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``key``, ``repaired`` and ``kinds`` (sorted) of each row.
-
-    Null, empty and blank texts come back as they are, as do texts without noise. A null path or page only means that the
-    text has no headers in common with others. Repeated rows stay, and count once for headers. An empty table gives none.
-    Tables of up to ``broadcast_rows`` rows are broadcast; of larger ones each text gets its own by a join.
-    """
-    words = count_words(df, text)
+def _repair(df: DataFrame, key: str, text: str, path: str, page: str, broadcast_rows: int, whole: bool) -> DataFrame:
+    """``key``, ``repaired`` and ``kinds`` of each row; or, if it is not to be ``whole``, key and kinds of those that have any."""
+    gathered = gather(df, text, path, key)
+    words = gathered.where("path is null").select("word", "n", "asked")
     fixes = cut_lineage(corrections(words.select("word", "n")))
     # Words that broken and fused ones are held against have no repair and the cost 0. A pair comes with either of its words,
     # -1 telling that this is the first and -2 that it is the second.
@@ -471,7 +555,7 @@ def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str
     looked = cut_lineage(looked)
     src = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(path).alias("path"))
     src, table = with_own(src, "_t", looked, _looked_up, broadcast_rows)
-    lines = cut_lineage(headers(df, path, key, text, page))
+    lines = cut_lineage(headers(df, path, key, text, page, gathered=gathered))
     few = lines.limit(broadcast_rows + 1).toArrow()
     heads = None
     if few.num_rows <= broadcast_rows:
@@ -479,12 +563,12 @@ def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str
         for p, line in zip(*(c.to_pylist() for c in few.columns)):
             by_path.setdefault(p, set()).add(line)
         heads = df.sparkSession.sparkContext.broadcast(by_path)
-        src = src.withColumn("_lines", F.lit(None).cast("array<string>"))
     else:
         # The rows of a file go to several tasks, each with a copy of its headers.
         own = lines.groupBy("path").agg(F.collect_set("line").alias("_lines")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
         src = src.withColumn("_s", F.pmod(F.xxhash64("_k", "_t"), F.lit(16)).cast("int")).join(own, ["path", "_s"], "left")
     kind = df.schema[key].dataType.simpleString()
+    used = ["_k", "_t", *["path"][: heads is not None], *["_own"][: table is None], *["_lines"][: heads is None]]
 
     def repairer(rows: dict[str, list[tuple]]) -> Repairer:
         known = {w: fixes for w, own in rows.items() if (fixes := [(o, c) for o, c, _ in own if o is not None and c >= 0])}
@@ -494,10 +578,45 @@ def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str
     def run(batches):
         common = repairer(table.value) if table is not None else None
         for batch in batches:
-            done = []
-            for t, p, own, head in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                by = common if common is not None else repairer(by_word(own))
-                done.append(by.text(t, heads.value.get(p, frozenset()) if heads is not None else set(head or ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([sorted(k) for _, k in done], pa.list_(pa.string()))], names=[key, "repaired", "kinds"])
+            for part in _slices(batch, 1):
+                texts = part.column(1)
+                # Only texts that have a trace of any kind are taken apart.
+                some = pc.match_substring_regex(texts, _TRACE).fill_null(False).to_numpy(zero_copy_only=False).copy()
+                if common is not None:
+                    some[Pieces(texts).having(common.known.keys())] = True
+                else:
+                    some |= pc.is_valid(part.column(used.index("_own"))).to_numpy(zero_copy_only=False)
+                if heads is not None:
+                    some |= np.fromiter((p in heads.value for p in part.column(2).to_pylist()), bool, len(some))
+                else:
+                    some |= pc.is_valid(part.column(used.index("_lines"))).to_numpy(zero_copy_only=False)
+                done = []
+                for row in zip(*(c.to_pylist() for c in part.filter(pa.array(some)).columns)):
+                    row = dict(zip(used, row))
+                    by = common if common is not None else repairer(by_word(row["_own"]))
+                    done.append(by.text(row["_t"], heads.value.get(row["path"], frozenset()) if heads is not None else set(row["_lines"] or ())))
+                kinds = [sorted(k) for _, k in done]
+                if whole:
+                    every = iter(kinds)
+                    cols = [pc.replace_with_mask(texts, pa.array(some), pa.array([t for t, _ in done], pa.string())), pa.array([next(every) if x else [] for x in some.tolist()], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[key, "repaired", "kinds"])
+                else:
+                    noisy = pa.array([bool(k) for k in kinds], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(some)).filter(noisy), pa.array([k for k in kinds if k], pa.list_(pa.string()))], names=[key, "kinds"])
+
+    return src.select(*used).mapInArrow(run, f"`{key}` {kind}, {'repaired string, ' if whole else ''}kinds array<string>")
+
+
+def repair(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str = "path", page: str = "page", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``key``, ``repaired`` and ``kinds`` (sorted) of each row.
+
+    Null, empty and blank texts come back as they are, as do texts without noise. A null path or page only means that the
+    text has no headers in common with others. Repeated rows stay, and count once for headers. An empty table gives none.
+    Tables of up to ``broadcast_rows`` rows are broadcast; of larger ones each text gets its own by a join.
+    """
+    return _repair(df, key, text, path, page, broadcast_rows, True)
+
 
-    return src.select("_k", "_t", "path", "_own", "_lines").mapInArrow(run, f"`{key}` {kind}, repaired string, kinds array<string>")
+def traces(df: DataFrame, key: str = "chunk_key", text: str = "text", path: str = "path", page: str = "page", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``key`` and ``kinds`` of the rows in which ``repair`` finds noise; their texts are repaired, but not returned."""
+    return _repair(df, key, text, path, page, broadcast_rows, False)

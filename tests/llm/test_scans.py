@@ -1,5 +1,9 @@
 """Scan noise: repairs of words the corpus knows, and what is left alone."""
 
+from collections import Counter
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from loamstack.llm import scans
@@ -115,3 +119,70 @@ def test_a_repair_that_is_misread_itself_leads_on(spark):
     base = [(200 + i, f"/e{i}", None, "nobody comes without a folder") for i in range(120)] + [(400 + i, f"/f{i}", None, "nobody comes witliout a folder") for i in range(6)]
     table = frame(spark, [*base, (1, "/a", None, "nobody comes wit1iout a folder")])
     assert [tuple(r)[:2] for r in corrections(count_words(table).select("word", "n")).where("seen = 'wit1iout'").collect()] == [("wit1iout", "without")]
+
+
+ODD = [None, "", " \n", PROSE, "ΟΔΟΣ ΣΑΣ\x85Σ İstanbul", "a\x1fdead!ine　docurnent,\xa0docurnent", "The the THE\tthe/modem x=1 Zm9vMTIzNDU2Nzg5MDEyMzQ1Njc4OTA=", "x" * 5000, PROSE, "one\x00two \r\n three"]
+
+
+def test_words_are_those_of_distinct_pieces(monkeypatch):
+    texts = pa.array([*ODD, *[PROSE] * 500])
+    found = [scans.words_of(t or "") for t in texts.to_pylist()]
+    looked = []
+    monkeypatch.setattr(scans, "words_of", lambda t, was=scans.words_of: looked.append(t) or was(t))
+    pieces = scans.Pieces(texts)
+    assert len(looked) == len(set(looked)) < 100
+    assert pieces.counts() == Counter(w for words in found for w in words)
+    follow = Counter(p for words in found for p in zip(words, words[1:]))
+    assert pieces.pairs(None) == follow
+    for wanted in ({"the", "docurnent"}, {"σας"}, {"none"}, set()):
+        assert pieces.pairs(wanted) == {p: n for p, n in follow.items() if not wanted.isdisjoint(p)}
+        assert pieces.having(wanted).tolist() == [i for i, words in enumerate(found) if not wanted.isdisjoint(words)]
+
+
+def test_batches_are_cut_without_loss(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ODD))), pa.array(ODD)], names=["k", "t"])
+    for size in (1, 300, 10**9):
+        monkeypatch.setattr(scans, "SLICE_BYTES", size)
+        parts = list(scans._slices(batch, 1))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        assert sum((Counter(scans.Pieces(p.column(1)).counts()) for p in parts), Counter()) == Counter(w for t in ODD for w in scans.words_of(t or ""))
+    assert list(scans._slices(batch.slice(0, 0), 1)) == []
+
+
+def test_texts_passed_over_have_no_trace():
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != "\n"]
+    digits = [chr(c) for c in range(0x110000) if chr(c).isdecimal()]
+    lines = ["Page 3 of 9", "S.12", "pp. 7", "- 2 -", "–3–", "12 |", "[9]", "3/4", "xiv", "lxxxix", f"{'17':>80}", "12", "Kiln Manual   13", "12   Kiln Manual", "The mod-", "The mod- ", "modem‐", "sum\xadmary", "ﬁrst", "sum¬"]
+    lines += [w + x + w for w in white for x in ("12", "Page 3", "iv", "[9]", "2   Kiln Manual")] + [f"Page{w}3" for w in white]
+    lines += [x for d in digits for x in (d, f"p. {d}", f"-{d}-", f"{d} |", f"[{d}]", f"{d}/{d}", f"Kiln Manual   {d}", f"{d}    Kiln Manual")]
+    texts = [t for x in lines for t in (x, f"{x}\nern machine learned", f"The machine learned\n{x}", f"The machine\n{x}\nern learned")]
+    repairer = scans.Repairer({}, {}, {"first"})
+    kinds = [repairer.text(t, frozenset())[1] for t in texts]
+    traced = pc.match_substring_regex(pa.array(texts), scans._TRACE).to_pylist()
+    assert [t for t, k, found in zip(texts, kinds, traced) if k and not found] == []
+    assert set().union(*kinds) == {"page", "header", "break", "fused"}
+    assert not any(pc.match_substring_regex(pa.array([PROSE, "", "Notes:\nwell-known, 7 of 12 are (3) here"]), scans._TRACE).to_pylist())
+
+
+@pytest.mark.parametrize("rows", [300_000, 0], ids=["broadcast", "joined"])
+def test_traces_are_the_kinds_of_the_repair(spark, rows):
+    table = frame(spark, ROWS)
+    want = sorted((r["chunk_key"], r["kinds"]) for r in repair(table, broadcast_rows=rows).collect() if r["kinds"])
+    assert len(want) > 5
+    assert sorted(map(tuple, scans.traces(table, broadcast_rows=rows).collect())) == want
+
+
+def test_texts_are_read_three_times(spark):
+    # For words and headers, for contexts, and for the repair; once more without the texts, for the sizes of files.
+    base = [(200 + i, f"/e{i}", None, "the modem hums loudly while modern art hangs quietly; they lease or least") for i in range(40)]
+    table = frame(spark, [*base, (1, "/a", None, "they leasf or hum")])
+    assert contexts(table, corrections(count_words(table).select("word", "n"))).count() > 0
+    n, read = table.count(), spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    repair(table.mapInArrow(told, table.schema)).collect()
+    assert read.value == 4 * n
